@@ -2,7 +2,7 @@
 
 1. A bounded sample of first vertices on both sides shapes a quadtree whose
    leaves hold about ``leaf_rows`` features each; a leaf that can't be split
-   further (everything in one spot) is salted instead.
+   further (everything in one spot) is salted on both sides instead.
 2. Every feature goes to each leaf its box meets (lines grown by the distance):
    boundary replication, so no pair is lost.
 3. A leaf's areas are bulk-loaded into a packed R-tree, probed with the leaf's
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 CHUNK = 400_000
 #: A hair of tolerance for coordinates given in decimals.
 EPSILON = 1e-9
+#: Bounds of the sample that shapes the quadtree.
+LEAST_SAMPLE, MOST_SAMPLE = 40_000, 2_000_000
 
 
 # --- the quadtree ---------------------------------------------------------
@@ -309,8 +311,14 @@ def _as_list(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def _assigner(tree_of, grow: float, rings: bool, salts_own: bool):
-    """Batches of (key, geometry) to (leaf, salt, key, xy, sizes), one row for each leaf and salt."""
+def assigner(tree_of, grow: float, rings: bool, first: bool):
+    """Batches of (key, geometry, more...) to (leaf, salt, key, xy, sizes, more...).
+
+    One row for each leaf that the box, grown by ``grow``, meets. In a leaf with
+    n salts, both sides are dealt out over n hands by key, and each row meets
+    all n hands of the other side: n * n groups of bounded size, and every pair
+    in just one of them. ``first`` tells the two sides apart.
+    """
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = tree_of()
@@ -334,30 +342,28 @@ def _assigner(tree_of, grow: float, rings: bool, salts_own: bool):
             n_rings = n_rings[rows]
             first_ring = np.cumsum(n_rings) - n_rings
             vertices = np.add.reduceat(n_points, first_ring)
-            first = np.cumsum(vertices) - vertices
-            box = np.column_stack([np.minimum.reduceat(xy, first), np.maximum.reduceat(xy, first)])
+            start = np.cumsum(vertices) - vertices
+            box = np.column_stack([np.minimum.reduceat(xy, start), np.maximum.reduceat(xy, start)])
             box += np.array([-grow, -grow, grow, grow])
             row, leaf = tree.cover(box)
-            keys = batch.column(0)
-            if salts_own:
-                salt = (_mix(keys.take(pa.array(rows[row]))) % tree.salts[leaf].astype(np.uint64)).astype(np.int64)
-            else:
-                n = tree.salts[leaf]
-                row, leaf, salt = np.repeat(row, n), np.repeat(leaf, n), _ramp(n)
+            n = tree.salts[leaf]
+            hand = np.zeros(len(row), dtype=np.int64)
+            if (n > 1).any():
+                hand = (_mix(batch.column(0).take(pa.array(rows[row]))) % n.astype(np.uint64)).astype(np.int64)
+            other = _ramp(n)
+            row, leaf, hand, n = np.repeat(row, n), np.repeat(leaf, n), np.repeat(hand, n), np.repeat(n, n)
+            salt = hand * n + other if first else other * n + hand
             n = vertices[row]
-            picked = np.repeat(first[row], n) + _ramp(n)
+            picked = np.repeat(start[row], n) + _ramp(n)
             r = n_rings[row]
             picked_rings = n_points[np.repeat(first_ring[row], r) + _ramp(r)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(leaf, pa.int32()),
-                    pa.array(salt, pa.int32()),
-                    keys.take(pa.array(rows[row])),
-                    _as_list(xy[picked].ravel(), 2 * n, pa.float64()),
-                    _as_list(picked_rings, r, pa.int32()),
-                ],
-                names=["leaf", "salt", "key", "xy", "sizes"],
-            )
+            taken = pa.array(rows[row])
+            carried = [0, *range(2, batch.num_columns)]
+            columns = {"leaf": pa.array(leaf, pa.int32()), "salt": pa.array(salt, pa.int32())}
+            columns |= {batch.schema.names[c]: batch.column(c).take(taken) for c in carried[:1]}
+            columns |= {"xy": _as_list(xy[picked].ravel(), 2 * n, pa.float64()), "sizes": _as_list(picked_rings, r, pa.int32())}
+            columns |= {batch.schema.names[c]: batch.column(c).take(taken) for c in carried[1:]}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return assign
 
@@ -408,6 +414,25 @@ def _matcher(tree_of, distance: float, schema: pa.Schema):
     return match
 
 
+def learn_quadtree(sides, total: int, leaf_rows: int, smallest: float, sample_rows: int | None = None, seed: int = 7):
+    """A function giving the broadcast quadtree, learned from a sample of ``sides``: (frame, point column).
+
+    ``total`` is the number of rows on all sides. The driver sees about
+    ``sample_rows`` points, by default four a leaf but between LEAST_SAMPLE and
+    MOST_SAMPLE, and the tree has no more leaves than that, whatever the size of
+    the tables.
+    """
+    if sample_rows is None:
+        sample_rows = min(MOST_SAMPLE, max(LEAST_SAMPLE, 4 * total // leaf_rows))
+    share = min(1.0, sample_rows / max(1, total))
+    rows = [r for df, point in sides for r in df.select(point.alias("p")).sample(share, seed).select("p.x", "p.y").collect()]
+    points = np.array([(r.x, r.y) for r in rows if r.x is not None and r.y is not None], dtype=float).reshape(-1, 2)
+    points = points[np.isfinite(points).all(axis=1)]
+    tree = QuadTree.build(points, max(1.0, leaf_rows * share), smallest)
+    shared = sides[0][0].sparkSession.sparkContext.broadcast(tree)
+    return lambda: shared.value
+
+
 def lines_near_areas(
     lines: DataFrame,
     areas: DataFrame,
@@ -416,7 +441,7 @@ def lines_near_areas(
     area_key: str,
     line_geometry: str = "geometry",
     area_geometry: str = "geometry",
-    sample_rows: int = 40_000,
+    sample_rows: int | None = None,
     leaf_rows: int = 20_000,
     seed: int = 7,
 ) -> DataFrame:
@@ -433,29 +458,16 @@ def lines_near_areas(
     """
     if line_key == area_key:
         raise ValueError("the two keys need different names")
-    spark = lines.sparkSession
     left = lines.select(F.col(line_key).alias("key"), F.col(line_geometry).alias("g")).where(F.col("g").isNotNull() & F.col("key").isNotNull())
     right = areas.select(F.col(area_key).alias("key"), F.col(area_geometry).alias("g")).where(F.col("g").isNotNull() & F.col("key").isNotNull())
-    total_left, total_right = lines.count(), areas.count()
-    total = total_left + total_right
-
-    def sampled(df: DataFrame, point) -> np.ndarray:
-        share = min(1.0, sample_rows / max(1, total))
-        rows = df.select(point.alias("p")).sample(share, seed).where("p is not null").select("p.x", "p.y").collect()
-        return np.array([(r.x, r.y) for r in rows if r.x is not None and r.y is not None], dtype=float).reshape(-1, 2)
-
-    points = np.concatenate([sampled(left, F.get("g", F.lit(0))), sampled(right, F.get(F.get("g", F.lit(0)), F.lit(0)))])
-    points = points[np.isfinite(points).all(axis=1)]
-    tree = QuadTree.build(points, max(1.0, leaf_rows * min(1.0, sample_rows / max(1, total))), smallest=4 * distance)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def tree_of() -> QuadTree:
-        return shared.value
-
+    tree_of = learn_quadtree(
+        [(left, F.get("g", F.lit(0))), (right, F.get(F.get("g", F.lit(0)), F.lit(0)))],
+        lines.count() + areas.count(), leaf_rows, 4 * distance, sample_rows, seed,
+    )
     kinds = {"key": left.schema["key"].dataType.simpleString(), "other": right.schema["key"].dataType.simpleString()}
     rows = "leaf int, salt int, key {}, xy array<double>, sizes array<int>"
-    a = left.mapInArrow(_assigner(tree_of, distance, False, True), rows.format(kinds["key"]))
-    b = right.mapInArrow(_assigner(tree_of, 0.0, True, False), rows.format(kinds["other"]))
+    a = left.mapInArrow(assigner(tree_of, distance, rings=False, first=True), rows.format(kinds["key"]))
+    b = right.mapInArrow(assigner(tree_of, 0.0, rings=True, first=False), rows.format(kinds["other"]))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType
 
