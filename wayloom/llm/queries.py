@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm import canonical, quality, terms
+from wayloom.llm import canonical, entities, quality, terms
 
 ACCESS_FIELDS = ["bicycle", "cycleway", "motor_vehicle"]
 TERM_FIELDS = ["highway", "cycleway"]
@@ -45,6 +45,26 @@ def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir).select("field", "term", "occurrences", "records", F.round("share", 6).alias("share"), "mark")
 
 
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = entities.recorded_lengths(_table(spark, sf_dir, "target_features"), _table(spark, sf_dir, "edges"))
+    matches = _table(spark, sf_dir, "match_features")
+    sides = [
+        df.select(F.col("id").alias("key"), F.col("geometry").alias("g"), "name", F.col(kind).alias("kind"), "length")
+        for df, kind in ((targets, "highway"), (matches, "road_class"))
+    ]
+    return entities.matched_sections(*sides)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and match records of the same stretch of the same street."""
+    return _sections(spark, sf_dir).where("target_id is not null").select("target_id", "match_id")
+
+
+def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with their cosine and calibrated confidence."""
+    return entities.with_confidence(_sections(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text is a list, a table or junk."""
     return quality.score_texts(_table(spark, sf_dir, "documents")).where(F.size("tails") > 0).select("doc_id")
@@ -57,5 +77,5 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "language", *rounded, F.round("far_out", 3).alias("far_out"), F.array_join("tails", ",").alias("tails"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p4_found": p4_found, "p4_confidence": p4_confidence, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL: dict[str, str] = {}
