@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm import canonical, entities, quality, terms
+from wayloom.llm import canonical, entities, mixing, packing, quality, terms
 
 ACCESS_FIELDS = ["bicycle", "cycleway", "motor_vehicle"]
 TERM_FIELDS = ["highway", "cycleway"]
@@ -65,6 +65,28 @@ def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.with_confidence(_sections(spark, sf_dir))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and the container each went to."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p7_packed(spark, sf_dir))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+    return mixed.select("doc_id", "source", "tokens", "copies")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens each source reached."""
+    targets = _table(spark, sf_dir, "mix_targets")
+    return mixing.share_report(mixing.mix_sources(_table(spark, sf_dir, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text is a list, a table or junk."""
     return quality.score_texts(_table(spark, sf_dir, "documents")).where(F.size("tails") > 0).select("doc_id")
@@ -77,5 +99,5 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "language", *rounded, F.round("far_out", 3).alias("far_out"), F.array_join("tails", ",").alias("tails"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p4_found": p4_found, "p4_confidence": p4_confidence, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p4_found": p4_found, "p4_confidence": p4_confidence, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL: dict[str, str] = {}
