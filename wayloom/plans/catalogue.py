@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.plans import problems
+from wayloom.plans import lines, problems, scalars
 
-MODULES = [problems]
+MODULES = [scalars, lines, problems]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
