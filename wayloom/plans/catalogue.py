@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.plans import lines, problems, scalars
+from wayloom.plans import lines, problems, scalars, tags
 
-MODULES = [scalars, lines, problems]
+MODULES = [scalars, lines, tags, problems]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
