@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.plans import lines, problems, scalars, tags
+from wayloom.plans import lines, network, problems, scalars, tags
 
-MODULES = [scalars, lines, tags, problems]
+MODULES = [scalars, lines, tags, network, problems]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
