@@ -227,8 +227,8 @@ class Shapes:
 
 
 def near_pairs(lines: Shapes, areas: Shapes, i: np.ndarray, j: np.ndarray, distance: float) -> np.ndarray:
-    """Whether line ``i[k]`` comes within ``distance`` of area ``j[k]``, exactly, for every k."""
-    hit = np.zeros(len(i), dtype=bool)
+    """How far line ``i[k]`` is from area ``j[k]``, exactly, for every k; infinite beyond ``distance``."""
+    best = np.full(len(i), np.inf)
     line_box, area_box = lines.box, areas.box
     limit = (distance + EPSILON) ** 2
     for lo, hi in _chunks(lines.size[i] * np.minimum(areas.size[j], 64)):
@@ -253,11 +253,13 @@ def near_pairs(lines: Shapes, areas: Shapes, i: np.ndarray, j: np.ndarray, dista
                 & (np.minimum(u[:, 1], u[:, 3]) - np.maximum(v[:, 1], v[:, 3]) <= distance) & (np.minimum(v[:, 1], v[:, 3]) - np.maximum(u[:, 1], u[:, 3]) <= distance)
             )
             u, v, p = u[close], v[close], p[close]
-            hit[p[segment_distance2(u, v) <= limit]] = True
-    # what touches no boundary lies wholly inside or wholly outside: one vertex tells
+            far = segment_distance2(u, v)
+            near = far <= limit
+            np.minimum.at(best, p[near], far[near])
+    # what crosses no boundary lies wholly inside or wholly outside: one vertex tells
     x, y = lines.segment[lines.start[i], 0], lines.segment[lines.start[i], 1]
     box = area_box[j]
-    rest = np.flatnonzero(~hit & (x >= box[:, 0]) & (x <= box[:, 2]) & (y >= box[:, 1]) & (y <= box[:, 3]))
+    rest = np.flatnonzero((best > 0) & (x >= box[:, 0]) & (x <= box[:, 2]) & (y >= box[:, 1]) & (y <= box[:, 3]))
     for a, b in _chunks(areas.size[j[rest]]):
         k = rest[a:b]
         n = areas.size[j[k]]
@@ -267,8 +269,8 @@ def near_pairs(lines: Shapes, areas: Shapes, i: np.ndarray, j: np.ndarray, dista
         rise = np.where(spans, v[:, 3] - v[:, 1], 1.0)
         right = spans & (px < (v[:, 2] - v[:, 0]) * (py - v[:, 1]) / rise + v[:, 0])
         if len(n):
-            hit[k] |= np.add.reduceat(right.astype(np.int64), np.cumsum(n) - n) % 2 == 1
-    return hit
+            best[k[np.add.reduceat(right.astype(np.int64), np.cumsum(n) - n) % 2 == 1]] = 0.0
+    return np.sqrt(best)
 
 
 def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -399,17 +401,20 @@ def _matcher(tree_of, distance: float, schema: pa.Schema):
         area_keys, areas = _shapes(right, rings=True)
         area_box = areas.box
         index, grown = PackedRTree(area_box), lines.box + np.array([-distance, -distance, distance, distance])
-        out_i, out_j = [], []
+        out_i, out_j, out_d = [], [], []
         for lo in range(0, len(grown), 4096):
             i, j = index.probe(grown[lo : lo + 4096])
             i = i + lo
             mine = tree.locate(np.maximum(grown[i, 0], area_box[j, 0]), np.maximum(grown[i, 1], area_box[j, 1])) == leaf
             i, j = i[mine], j[mine]
-            near = near_pairs(lines, areas, i, j, distance)
+            far = near_pairs(lines, areas, i, j, distance)
+            near = np.isfinite(far)
             out_i.append(i[near])
             out_j.append(j[near])
+            out_d.append(far[near])
         i, j = np.concatenate(out_i), np.concatenate(out_j)
-        return pa.Table.from_arrays([line_keys.take(pa.array(i)), area_keys.take(pa.array(j))], schema=schema)
+        columns = [line_keys.take(pa.array(i)), area_keys.take(pa.array(j)), pa.array(np.concatenate(out_d))]
+        return pa.Table.from_arrays(columns[: len(schema)], schema=schema)
 
     return match
 
@@ -444,8 +449,9 @@ def lines_near_areas(
     sample_rows: int | None = None,
     leaf_rows: int = 20_000,
     seed: int = 7,
+    measure: str | None = None,
 ) -> DataFrame:
-    """``line_key, area_key`` of every line and area at most ``distance`` apart, each pair once.
+    """``line_key, area_key`` (and on demand their distance, in a column named ``measure``) of every line and area at most ``distance`` apart, each pair once.
 
     Lines are ``array<struct<x,y>>``, areas arrays of rings (the first is the
     shell, others are holes; open or closed, either direction). The distance
@@ -469,13 +475,13 @@ def lines_near_areas(
     a = left.mapInArrow(assigner(tree_of, distance, rings=False, first=True), rows.format(kinds["key"]))
     b = right.mapInArrow(assigner(tree_of, 0.0, rings=True, first=False), rows.format(kinds["other"]))
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructField, StructType
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = to_arrow_schema(
-        StructType([StructField(line_key, left.schema["key"].dataType), StructField(area_key, right.schema["key"].dataType)])
+        StructType([StructField(line_key, left.schema["key"].dataType), StructField(area_key, right.schema["key"].dataType), *([StructField(measure, DoubleType())] if measure else [])])
     )
     return (
         a.groupBy("leaf", "salt")
         .cogroup(b.groupBy("leaf", "salt"))
-        .applyInArrow(_matcher(tree_of, distance, schema), f"`{line_key}` {kinds['key']}, `{area_key}` {kinds['other']}")
+        .applyInArrow(_matcher(tree_of, distance, schema), f"`{line_key}` {kinds['key']}, `{area_key}` {kinds['other']}" + (f", `{measure}` double" if measure else ""))
     )

@@ -17,6 +17,7 @@ from wayloom.functions import line as L
 from wayloom.functions import polygon as P
 from wayloom.functions import shapes
 from wayloom.functions.let import point
+from wayloom.operators.staged import staged
 from wayloom.session import checkpointed
 
 
@@ -57,7 +58,7 @@ def total_bounds(df: DataFrame, points: Column) -> DataFrame:
 def intersecting_lines(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """``a_id, b_id, points`` of lines (``id, geometry``) that cross."""
     pairs = grid_join(a.select("id", "geometry"), b.select("id", "geometry"), box_of(F.col("geometry")), box_of(F.col("geometry")), cell)
-    out = pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), L.line_crossings(F.col("a.geometry"), F.col("b.geometry")).alias("points"))
+    out = staged(pairs, {"points": L.line_crossings(F.col("a.geometry"), F.col("b.geometry"))}).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "points")
     return out.where(F.size("points") > 0)
 
 
@@ -100,7 +101,8 @@ def nearest_line(points: DataFrame, lines: DataFrame, distance: float, cell: flo
     """``point_id, line_id, distance, place, x, y`` of the nearest line within a distance; of equal ones the lower id.
     Points without any have null."""
     near = grid_join(points.select("id", "x", "y"), lines.select("id", "geometry"), _point_box(distance), box_of(F.col("geometry")), cell or 2 * distance)
-    n = near.select(F.col("a.id").alias("point_id"), F.col("b.id").alias("line_id"), L.nearest(point(F.col("a.x"), F.col("a.y")), F.col("b.geometry")).alias("n")).where(F.col("n.distance") <= distance)
+    n = staged(near.select("a", "b"), {"n": L.nearest(point(F.col("a.x"), F.col("a.y")), F.col("b.geometry"))}).where(F.col("n.distance") <= distance)
+    n = n.select(F.col("a.id").alias("point_id"), F.col("b.id").alias("line_id"), "n")
     best = n.groupBy("point_id").agg(F.min(F.struct("n.distance", "line_id", "n.place", "n.x", "n.y")).alias("b")).select("point_id", "b.line_id", "b.distance", "b.place", "b.x", "b.y")
     return points.select(F.col("id").alias("point_id")).join(best, "point_id", "left")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.plans import lines, network, problems, scalars, spatial, tags
+from wayloom.plans import conflate, lines, network, problems, scalars, spatial, tags
 
-MODULES = [spatial, scalars, lines, tags, network, problems]
+MODULES = [conflate, spatial, scalars, lines, tags, network, problems]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
