@@ -9,7 +9,7 @@ from wayloom.functions import line as L
 from wayloom.functions import polygon as P
 from wayloom.functions.scalar import azimuth, degrees_centered_at_zero, side_by_relative_angle
 from wayloom.operators.proximity import lines_near_areas
-from wayloom.operators.staged import staged
+from wayloom.operators.staged import spread, staged
 
 
 def nearby_buildings(edges: DataFrame, buildings: DataFrame, primary: float, secondary: float, key: str = "ord") -> DataFrame:
@@ -24,8 +24,8 @@ def nearby_buildings(edges: DataFrame, buildings: DataFrame, primary: float, sec
     """
     pairs = lines_near_areas(edges, buildings.withColumnRenamed("id", "_bid"), primary, key, "_bid", measure="_d")
     e = edges.select(key, F.col("geometry").alias("g")).where("g is not null").dropDuplicates([key])
-    b = buildings.select(F.col("id").alias("_bid"), F.col("geometry").alias("poly")).where("poly is not null").dropDuplicates(["_bid"])
-    both = staged(pairs.join(e, key).join(b, "_bid"), {"_c": P.centroid(F.col("poly"))})
+    b = buildings.where("geometry is not null").select(F.col("id").alias("_bid"), P.centroid(F.col("geometry")).alias("_c")).dropDuplicates(["_bid"])
+    both = spread(pairs.join(e, key).join(b, "_bid"), key, "_bid")
     both = staged(both, {"_n": L.nearest(F.col("_c"), F.col("g"))})
     turn = azimuth(F.col("_n.x"), F.col("_n.y"), F.col("_c.x"), F.col("_c.y")) - L.azimuth_at(F.col("g"), F.col("_n.place"))
     sided = staged(both, {"_turn": turn}).select(key, "_bid", "_d", side_by_relative_angle(degrees_centered_at_zero(F.col("_turn"))).alias("side")).where(F.col("side").isin("R", "L"))

@@ -22,7 +22,7 @@ from wayloom.functions.lists import merge_intervals
 from wayloom.functions.names import name_score, standardize_streetname
 from wayloom.functions.scalar import azimuth, azimuth_difference
 from wayloom.operators.spatial import box_of, grid_join
-from wayloom.operators.staged import staged
+from wayloom.operators.staged import spread, staged
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def match_by_midpoint(
     pairs = grid_join(t, m, box_of(mid, distance), box_of(F.col("geometry")), cell or 4 * distance)
     g, h = F.col("a.geometry"), F.col("b.geometry")
     c = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("match_id"), F.col("a._mid").alias("_mid"), g.alias("_g"), h.alias("_h"), F.col("a._len").alias("_lt"), F.col("b._len").alias("_lm"))
-    c = staged(c, {"_n": L.nearest(F.col("_mid"), F.col("_h"))}).where(F.col("_n.distance") <= distance)
+    c = staged(spread(c, "id", "match_id"), {"_n": L.nearest(F.col("_mid"), F.col("_h"))}).where(F.col("_n.distance") <= distance)
     along = L.azimuth_at(F.col("_g"), F.col("_lt") / 2)
     c = staged(c, {
         "match_dist": F.col("_n.distance"),
@@ -119,7 +119,7 @@ def hausdorff_pairs(targets: DataFrame, matches: DataFrame, distance: float, azi
         f"target_id {kinds[0]}, match_id {kinds[1]}, match_type string, h_tm double, t_prop double, t_seg {shapes.LINE}, t_lo double, t_hi double, "
         f"h_mt double, m_prop double, m_seg {shapes.LINE}, m_lo double, m_hi double"
     )
-    return rows.mapInArrow(_classifier(distance, azimuth_tolerance, length_tolerance), schema)
+    return spread(rows, "target_id", "match_id").mapInArrow(_classifier(distance, azimuth_tolerance, length_tolerance), schema)
 
 
 def _classifier(distance: float, azimuth_tolerance: float | None, length_tolerance: float):

@@ -15,3 +15,12 @@ def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(n) for n, v in columns.items()]))))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out evenly over as many tasks as the session shuffles into, for steps that cost far more than moving the rows.
+
+    Adaptive execution would otherwise fold few bytes into few tasks, and what
+    met in one hot cell would stay in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
