@@ -36,31 +36,33 @@ def area(poly: Column) -> Column:
     return F.when(F.size(poly) > 0, F.abs(signed_area(F.get(poly, F.lit(0)))) - holes)
 
 
-def _moment(ring: Column, axis: str) -> Column:
-    o = F.get(ring, F.lit(0))
-
-    def term(p: Column, q: Column) -> Column:
+def _moments(ring: Column, o: Column) -> Column:
+    """(twice the area, and the moments about ``o``) of a ring, all positive-way round, in one pass."""
+    def add(acc: Column, s: Column) -> Column:
+        p, q = s["p"], s["q"]
         cross = (p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"])
-        return (p[axis] + q[axis] - 2 * o[axis]) * cross
+        return let(cross, lambda c: F.struct(
+            (acc["a"] + c).alias("a"), (acc["x"] + (p["x"] + q["x"] - 2 * o["x"]) * c).alias("x"), (acc["y"] + (p["y"] + q["y"] - 2 * o["y"]) * c).alias("y")
+        ))
 
-    return _sum(ring, term) / 6 + o[axis] * signed_area(ring)
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in "axy"])
+    turned = lambda m: F.when(m["a"] < 0, F.struct((-m["a"]).alias("a"), (-m["x"]).alias("x"), (-m["y"]).alias("y"))).otherwise(m)
+    return F.aggregate(L._pairs(closed(ring), lambda p, q: F.struct(p.alias("p"), q.alias("q"))), zero, add, turned)
 
 
 def centroid(poly: Column) -> Column:
     """The centre of the area; of shapes without area, the mean of the shell's points."""
     shell = F.get(poly, F.lit(0))
+    o = F.get(shell, F.lit(0))
 
-    def total(f) -> Column:
-        sign = lambda ring, value: F.when(signed_area(ring) < 0, -value).otherwise(value)
-        holes = F.aggregate(F.slice(poly, 2, F.greatest(F.size(poly), F.lit(1))), F.lit(0.0), lambda s, ring: s + sign(ring, f(ring)))
-        return sign(shell, f(shell)) - holes
+    def less(acc: Column, m: Column) -> Column:
+        return F.struct((acc["a"] - m["a"]).alias("a"), (acc["x"] - m["x"]).alias("x"), (acc["y"] - m["y"]).alias("y"))
 
+    holes = F.transform(F.slice(poly, 2, F.greatest(F.size(poly), F.lit(1))), lambda ring: _moments(ring, o))
+    total = F.aggregate(holes, _moments(shell, o), less)
     flat = lambda axis: F.aggregate(F.transform(shell, lambda p: p[axis]), F.lit(0.0), lambda s, v: s + v) / F.size(shell)
-    a = total(signed_area)
-    return F.when(
-        F.size(shell) > 0,
-        F.when(F.abs(a) > 1e-12, point(total(lambda g: _moment(g, "x")) / a, total(lambda g: _moment(g, "y")) / a)).otherwise(point(flat("x"), flat("y"))),
-    )
+    centre = lambda m: F.when(F.abs(m["a"]) > 1e-12, point(o["x"] + m["x"] / (3 * m["a"]), o["y"] + m["y"] / (3 * m["a"]))).otherwise(point(flat("x"), flat("y")))
+    return F.when(F.size(shell) > 0, let(total, centre))
 
 
 def bounds(points: Column) -> Column:
