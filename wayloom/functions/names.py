@@ -95,5 +95,6 @@ def _score_batch(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def name_score(a: Column, b: Column) -> Column:
-    """``token_set_ratio`` of two columns; an Arrow UDF, each distinct pair once a batch."""
+    """``token_set_ratio`` of two columns; an Arrow UDF, each distinct pair once a batch.
+    Its arguments should be plain columns: stage computed names first."""
     return F.pandas_udf(_score_batch, T.DoubleType())(a, b)

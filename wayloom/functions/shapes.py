@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE = "array<struct<x:double,y:double>>"
 
 
+def _arrow(of_row: Callable, kind: str, *columns: Column) -> Column:
+    """``of_row`` over the columns' values as an Arrow UDF; null where any is null. (Through pandas, lists of
+    lists of unequal length don't come in.)"""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = _parse_datatype_string(kind)
+    arrow_type = to_arrow_type(schema)
+
+    def batch(*arrays: pa.Array) -> pa.Array:
+        rows = zip(*[a.to_pylist() for a in arrays])
+        return pa.array([None if any(v is None for v in row) else of_row(*row) for row in rows], arrow_type)
+
+    if len(columns) == 1:
+        def one(a: pa.Array) -> pa.Array:
+            return batch(a)
+
+        return F.arrow_udf(one, schema)(*columns)
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return batch(a, b)
+
+    return F.arrow_udf(two, schema)(*columns)
+
+
 def _xy(points) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in points if p is not None], dtype=float).reshape(-1, 2)
 
@@ -76,19 +103,16 @@ def axis_azimuth(xy: np.ndarray) -> float | None:
 
 def major_axis_azimuth(points: Column) -> Column:
     """Azimuth of the long axis of an array of points; a two-point line needs no Python but gets it all the same."""
-    def batch(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if g is None else axis_azimuth(_xy(g)) for g in rows], dtype="float64")
-
-    return F.pandas_udf(batch, "double")(points)
+    return _arrow(lambda g: axis_azimuth(_xy(g)), "double", points)
 
 
 def major_minor_axes(points: Column) -> Column:
     """(major, minor): the axes as lines."""
-    def batch(rows: pd.Series) -> pd.DataFrame:
-        got = [None if g is None else axes_of(_xy(g)) for g in rows]
-        return pd.DataFrame({"major": [None if a is None else _points(a[0]) for a in got], "minor": [None if a is None else _points(a[1]) for a in got]})
+    def of(g):
+        axes = axes_of(_xy(g))
+        return None if axes is None else {"major": _points(axes[0]), "minor": _points(axes[1])}
 
-    return F.pandas_udf(batch, f"major {LINE}, minor {LINE}")(points)
+    return _arrow(of, f"struct<major:{LINE},minor:{LINE}>", points)
 
 
 def merge_parts(parts: list[np.ndarray], tolerance: float) -> list[np.ndarray]:
@@ -117,10 +141,7 @@ def merge_parts(parts: list[np.ndarray], tolerance: float) -> list[np.ndarray]:
 
 def merge_multiline(lines: Column, tolerance: float = 0.0) -> Column:
     """The lines of an array joined where their ends meet, turned round as needed."""
-    def batch(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else [_points(m) for m in merge_parts([_xy(g) for g in r if g is not None], tolerance)] for r in rows])
-
-    return F.pandas_udf(batch, f"array<{LINE}>")(lines)
+    return _arrow(lambda r: [_points(m) for m in merge_parts([_xy(g) for g in r if g is not None], tolerance)], f"array<{LINE}>", lines)
 
 
 def clip_box(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
@@ -153,13 +174,10 @@ def quadrats(poly: Column, width: float) -> Column:
             for j in range(low[1], high[1] + 1):
                 got = [clip_box(s, i * width, j * width, (i + 1) * width, (j + 1) * width) for s in shapes]
                 if len(got[0]) > 2 and abs(ring_area(got[0])) > 1e-12:
-                    out.append({"col": i, "row": j, "geometry": [_points(np.vstack([g, g[:1]])) for g in got if len(g) > 2]})
+                    out.append({"col": int(i), "row": int(j), "geometry": [_points(np.vstack([g, g[:1]])) for g in got if len(g) > 2]})
         return out
 
-    def batch(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else cut(r) for r in rows])
-
-    return F.pandas_udf(batch, f"array<struct<col:int,row:int,geometry:array<{LINE}>>>")(poly)
+    return _arrow(cut, f"array<struct<col:int,row:int,geometry:array<{LINE}>>>", poly)
 
 
 def ring_area(xy: np.ndarray) -> float:
@@ -217,10 +235,7 @@ def shared_area(a, b) -> float:
 
 def overlap_area(a: Column, b: Column) -> Column:
     """``shared_area`` of two columns of areas."""
-    def batch(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else shared_area(p, q) for p, q in zip(x, y)], dtype="float64")
-
-    return F.pandas_udf(batch, "double")(a, b)
+    return _arrow(shared_area, "double", a, b)
 
 
 def buffer_line(line: Column, distance: float, corners: int = 16) -> Column:
@@ -229,14 +244,11 @@ def buffer_line(line: Column, distance: float, corners: int = 16) -> Column:
     t = np.linspace(0, 2 * np.pi, 4 * corners, endpoint=False)
     disc = np.column_stack([np.cos(t), np.sin(t)]) * distance
 
-    def batch(rows: pd.Series) -> pd.Series:
-        def one(g):
-            xy = _xy(g)
-            if len(xy) == 0:
-                return None
-            ring = hull((xy[:, None, :] + disc[None, :, :]).reshape(-1, 2))
-            return [_points(np.vstack([ring, ring[:1]]))]
-
-        return pd.Series([None if g is None else one(g) for g in rows])
+    def outline(g):
+        xy = _xy(g)
+        if len(xy) == 0:
+            return None
+        ring = hull((xy[:, None, :] + disc[None, :, :]).reshape(-1, 2))
+        return [_points(np.vstack([ring, ring[:1]]))]
 
-    return F.pandas_udf(batch, f"array<{LINE}>")(line)
+    return _arrow(outline, f"array<{LINE}>", line)

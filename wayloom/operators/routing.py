@@ -135,7 +135,8 @@ def cheapest_of_sets(groups: DataFrame, edges: DataFrame, cost: str = "length")
     ``groups`` has ``pair, origins array, destinations array``, as where nodes are
     split into the ends of their turns. Pairs without any way have none.
     """
-    every = groups.select("pair", F.explode("origins").alias("origin"), "destinations").select("pair", F.col("origin").cast("string").alias("origin"), F.explode("destinations").cast("string").alias("destination"))
+    every = groups.select("pair", F.explode("origins").alias("origin"), "destinations").select("pair", "origin", F.explode("destinations").alias("destination"))
+    every = every.select("pair", F.col("origin").cast("string").alias("origin"), F.col("destination").cast("string").alias("destination"))
     found = every.join(shortest_paths(every, edges, cost), ["origin", "destination"]).where("cost is not null")
     return found.groupBy("pair").agg(F.min(F.struct("cost", "origin", "destination", "route")).alias("b")).select("pair", "b.origin", "b.destination", "b.cost", "b.route")
 

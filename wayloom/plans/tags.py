@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import lists, names, tags
 from wayloom.operators import intervals, reshape
+from wayloom.operators.staged import staged
 from wayloom.plans.tables import r, table
 from wayloom.sources.overpass import elements_from_tags, examine_tags
 
@@ -101,7 +102,8 @@ QUERIES["name_fuzzy"] = lambda spark, sf_dir: (
 SQL["name_fuzzy"] = """SELECT ord, round(1 - levenshtein(a,b)::DOUBLE/greatest(length(a),length(b)),4)+0.0 AS likeness FROM
  (SELECT ord, lower(name) a, lower(string_split(name,' ')[1] || ' street') b FROM (SELECT DISTINCT ord, name, u FROM edges) WHERE name IS NOT NULL)"""
 QUERIES["name_token_set"] = lambda spark, sf_dir: (
-    table(spark, sf_dir, "match_features").select("id", "name").distinct().select("id", r(names.name_score(names.standardize_streetname(c("name")), c("name")), "score"))
+    staged(table(spark, sf_dir, "match_features").select("id", "name").distinct(), {"standard": names.standardize_streetname(c("name"))})
+    .select("id", names.name_score(c("standard"), c("name")).alias("score")).select("id", r(c("score"), "score"))
 )
 
 QUERIES["select_prefix"] = lambda spark, sf_dir: reshape.select_columns(table(spark, sf_dir, "nation"), ["n_name", "missing", "n_nationkey"], "a_", "_z")
