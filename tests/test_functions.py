@@ -89,6 +89,13 @@ def test_shapes(spark):
     merged = shapes.merge_parts(parts, 0.01)
     assert [m.tolist() for m in merged] == [[[0, 0], [1, 0], [2, 0]], [[5, 5], [6, 6]]]
     assert abs(shapes.axis_azimuth(np.array([[0, 0], [10, 10], [10, 12], [0, 2.0]])) - 45) < 20
+    ring = lambda *p: [(float(x), float(y)) for x, y in p]
+    areas = [[ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((1, 1), (3, 1), (2, 3))], [ring((0, 0), (4, 0), (0, 4))]]
+    df = spark.createDataFrame([(areas[0], areas[1]), (areas[1], None)], f"a array<{LINE}>, b array<{LINE}>")
+    got = [r[0] for r in df.select(shapes.overlap_area(F.col("a"), F.col("b"))).collect()]
+    assert abs(got[0] - (8 - 4 / 3)) < 1e-9 and got[1] is None
+    many = spark.createDataFrame([([ring((0, 0), (1, 0), (2, 5)), ring((2, 5), (9, 9))],), ([],), (None,)], f"l array<{LINE}>")
+    assert [None if r[0] is None else [len(x) for x in r[0]] for r in many.select(shapes.merge_multiline(F.col("l"))).collect()] == [[4], [], None]
     axes = one(spark, f"g {LINE}", ([(0.0, 0.0), (8.0, 0.0), (8.0, 2.0), (0.0, 2.0)],), shapes.major_minor_axes(F.col("g")))[0]
     assert abs(axes.major[0].y - 1) < 1e-9 and abs(axes.minor[0].x - 4) < 1e-9
     ring = one(spark, f"g {LINE}", ([(0.0, 0.0), (8.0, 0.0)],), shapes.buffer_line(F.col("g"), 1.0))[0][0]
