@@ -108,6 +108,21 @@ def test_routes_like_dijkstra(spark):
                 assert x.route[0] == a and x.route[-1] == b and sum(net[u][v] for u, v in zip(x.route, x.route[1:])) == x.cost
 
 
+def test_routes_over_edges_without_cost(spark):
+    r = random.Random(11)
+    rows = [("s", "a", 5.0), ("a", "b", 0.0), ("b", "a", 0.0), ("b", "c", 1.0)]
+    for _ in range(60):
+        u, v, w = str(r.randint(0, 14)), str(r.randint(0, 14)), float(r.choice([0, 0, 0.1, 0.2, 0.3]))
+        rows += [(u, v, w), (v, u, w)]
+    edges = spark.createDataFrame(rows, "u string, v string, length double")
+    names = ["s", "a", "b", "c", *map(str, range(15))]
+    pairs = spark.createDataFrame([(a, b) for a in ("s", "0", "1") for b in names], "origin string, destination string")
+    near, spread = ({(x.origin, x.destination): (x.cost, x.route) for x in routing.shortest_paths(pairs, edges, max_broadcast=limit).collect()} for limit in (10_000, 0))
+    assert near == spread
+    assert near["s", "c"] == (6.0, ["s", "a", "b", "c"])
+    assert all(len(set(route)) == len(route) for _, route in near.values() if route)
+
+
 def test_spatial_like_brute_force(spark):
     r = random.Random(5)
     a = [(i, r.uniform(0, 100), r.uniform(0, 100)) for i in range(80)]

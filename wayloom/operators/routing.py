@@ -17,7 +17,7 @@ MAX_BROADCAST_EDGES = 2_000_000
 
 
 def _network(edges: DataFrame, cost: str) -> DataFrame:
-    return edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & F.col(cost).isNotNull() & (F.col(cost) >= 0)).groupBy(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v")).agg(F.min(F.col(cost).cast("double")).alias("w"))
+    return edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & F.col(cost).isNotNull() & (F.col(cost) >= 0) & ~F.isnan(F.col(cost).cast("double"))).groupBy(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v")).agg(F.min(F.col(cost).cast("double")).alias("w"))
 
 
 class _Graph:
@@ -36,11 +36,11 @@ class _Graph:
 
     def paths(self, origin: int, wanted: set[int]) -> dict[int, tuple[float, list[int]]]:
         """Cost and nodes to each wanted node that can be reached."""
-        best, before, settled, out = {origin: 0.0}, {origin: -1}, set(), {}
-        heap = [(0.0, origin)]
+        best, before, settled, out = {origin: (0.0, 0)}, {origin: -1}, set(), {}
+        heap = [(0.0, 0, origin)]
         left = set(wanted)
         while heap and left:
-            d, n = heapq.heappop(heap)
+            d, hops, n = heapq.heappop(heap)
             if n in settled:
                 continue
             settled.add(n)
@@ -52,10 +52,10 @@ class _Graph:
                     at = before[at]
                 out[n] = d, route[::-1]
             for k in range(self.start[n], self.start[n + 1]):
-                m, c = int(self.to[k]), d + float(self.w[k])
-                if c < best.get(m, np.inf) or (c == best[m] and n < before[m] and m not in settled):
+                m, c = int(self.to[k]), (d + float(self.w[k]), hops + 1)
+                if m not in best or c < best[m] or (c == best[m] and n < before[m]):
                     best[m], before[m] = c, n
-                    heapq.heappush(heap, (c, m))
+                    heapq.heappush(heap, (*c, m))
         return out
 
 
@@ -63,10 +63,10 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, cost: str = "length", max
     """``origin, destination, cost, route`` (the nodes as array<string>) of each distinct pair; both null where there is no way.
 
     A pair of equal nodes costs 0. Edges without cost or with a negative one
-    aren't used; of parallel ones the cheapest is. Of equally cheap routes one
-    is chosen the same way each time. Up to ``max_broadcast`` edges, counted
+    aren't used; of parallel ones the cheapest is. Of equally cheap routes the
+    one of fewest nodes is chosen, then from its end the lesser names. Up to ``max_broadcast`` edges, counted
     first, every worker holds the network and searches from each of its origins
-    once; beyond, costs spread round by round over tables.
+    once; beyond, costs spread round by round over tables, with the same result.
     """
     wanted = pairs.select(F.col("origin").cast("string").alias("origin"), F.col("destination").cast("string").alias("destination")).where("origin is not null and destination is not null").distinct()
     net = _network(edges, cost)
@@ -105,18 +105,31 @@ def path_costs(sources: DataFrame, net: DataFrame) -> DataFrame:
 
     Costs spread from the nodes that improved in the last round, all sources at
     once; every round is one join and one aggregate, written to the checkpoint
-    folder. ``net`` has ``u, v, w``.
+    folder. Then nodes are reached anew, by the edges that keep to these costs
+    only: a node's round is the number of its steps, so edges without cost can't
+    make a circle of ``before``. ``net`` has ``u, v, w``.
     """
-    best = checkpointed(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("before")))
-    frontier = best
+    start = checkpointed(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("before")))
+    best = frontier = start.drop("before")
     while True:
-        offers = frontier.join(net, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("before")).groupBy("source", "node").agg(F.min(F.struct("cost", "before")).alias("o"))
+        offers = frontier.join(net, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).groupBy("source", "node").agg(F.min("cost").alias("o"))
         joined = checkpointed(best.join(offers, ["source", "node"], "full_outer"))
-        better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.cost") < F.col("cost")) | ((F.col("o.cost") == F.col("cost")) & F.col("before").isNotNull() & (F.col("o.before") < F.col("before"))))
-        frontier = joined.where(better).select("source", "node", F.col("o.cost").alias("cost"), F.col("o.before").alias("before"))
-        best = joined.select("source", "node", F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("o.before")).otherwise(F.col("before")).alias("before"))
+        better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o") < F.col("cost")))
+        frontier = joined.where(better).select("source", "node", F.col("o").alias("cost"))
+        best = joined.select("source", "node", F.when(better, F.col("o")).otherwise(F.col("cost")).alias("cost"))
         if frontier.isEmpty():
-            return best
+            break
+    ends = best.select("source", F.col("node").alias("v"), F.col("cost").alias("_c"))
+    kept = best.join(net, F.col("node") == F.col("u")).select("source", "u", "v", (F.col("cost") + F.col("w")).alias("_c")).join(ends, ["source", "v", "_c"])
+    kept = checkpointed(kept.withColumnRenamed("_c", "cost"))
+    tree, hop = start.withColumn("hop", F.lit(0)), 0
+    while True:
+        reached = tree.where(F.col("hop") == hop).select("source", F.col("node").alias("u")).join(kept, ["source", "u"]).groupBy("source", F.col("v").alias("node")).agg(F.struct(F.min("cost").alias("cost"), F.min("u").alias("before"), F.lit(hop + 1).alias("hop")).alias("o"))
+        own = F.struct("cost", "before", "hop")
+        tree = checkpointed(tree.select("source", "node", own.alias("t")).join(reached, ["source", "node"], "full_outer").select("source", "node", F.coalesce("t", "o").alias("t")).select("source", "node", "t.*"))
+        hop += 1
+        if tree.where(F.col("hop") == hop).isEmpty():
+            return tree.drop("hop")
 
 
 def _spread_paths(wanted: DataFrame, net: DataFrame) -> DataFrame:
