@@ -1,4 +1,4 @@
-from wayloom.llm.quality import language, score_texts, statistics
+from wayloom.llm.quality import NAMED, TAILS, language, score_texts, statistics
 
 PROSE = "The old clerk needed the lamp near the harbour. After {} days the young teacher painted the cart, and the road crew was wet. "
 
@@ -28,3 +28,11 @@ def test_flags(spark):
     assert len(rows) == len(prose + odd + fine)
     assert {r.doc_id for r in rows if r.tails} == {r[0] for r in odd}
     assert score_texts(df.limit(0)).count() == 0
+
+
+def test_far_out_is_named(spark):
+    df = spark.createDataFrame([(i, PROSE.format(i) * (1 + i % 5) + "and, so, on " * (i % 3), "en") for i in range(60)], "doc_id bigint, text string, lang string")
+    rows = score_texts(df, far=0.5).collect()
+    mild = [r for r in rows if r.far_out > 0.5 and max(r[f"z_{s}"] for s in TAILS) <= NAMED]
+    assert mild and all(r.tails for r in mild)
+    assert all(not r.tails for r in rows if r.far_out <= 0.5)

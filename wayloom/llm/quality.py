@@ -144,8 +144,8 @@ def score_texts(documents: DataFrame, far: float = FAR) -> DataFrame:
 
     ``z`` is positive towards the suspect side of a statistic. ``far_out`` is the
     length of the vector of positive scores; beyond ``far`` a document is no
-    natural prose, and ``tails`` names the statistics that say so (empty for
-    prose). A record counts once: rows repeating a ``doc_id`` with the same text
+    natural prose, and ``tails`` names the statistics that say so, at least the
+    one furthest out (empty for prose). A record counts once: rows repeating a ``doc_id`` with the same text
     and language are one, a null id is an id. Null or empty text gives zero words
     and no tails.
     """
@@ -170,5 +170,6 @@ def score_texts(documents: DataFrame, far: float = FAR) -> DataFrame:
     out = scored.select("doc_id", "language", *STATISTICS, *[v.alias(f"z_{s}") for s, v in z.items()])
     square = sum((F.pow(F.greatest(F.col(f"z_{s}"), F.lit(0.0)), 2) for s in TAILS), F.lit(0.0))
     out = out.withColumn("far_out", F.when(F.col("lines") > 0, F.sqrt(square)).otherwise(0.0))
-    named = F.array_compact(F.array(*[F.when(F.col(f"z_{s}") > NAMED, F.lit(s)) for s in TAILS]))
+    furthest = F.greatest(*[F.col(f"z_{s}") for s in TAILS])
+    named = F.array_compact(F.array(*[F.when((F.col(f"z_{s}") > NAMED) | (F.col(f"z_{s}") == furthest), F.lit(s)) for s in TAILS]))
     return out.withColumn("tails", F.when(F.col("far_out") > far, named).otherwise(F.array().cast("array<string>")))
