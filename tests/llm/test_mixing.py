@@ -40,3 +40,18 @@ def test_shares(spark):
     assert all(x.p[2] == max(x.p) for x in soft)  # in the order big, missing, small, tiny
     assert mix_sources(df.limit(0), targets).count() == 0
     assert mix_sources(df, targets.limit(0)).count() == 0
+
+
+def test_size_and_falling_short(spark):
+    rows = [(k, f"river stone {k % 7}", "big") for k in range(400)] + [(1000, "quartz vein seven", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 2)], TARGETS)
+    kept = mix_sources(df, targets)
+    short = mix_sources(df, targets, keep_shares=False)
+    sizes = []
+    for mixed in (kept, short):
+        report = share_report(mixed, targets).collect()
+        sizes.append(sum(x.tokens * x.copies for x in mixed.collect()))
+        assert {x["size"] for x in report} == {sizes[-1]}
+    assert sizes[1] > 20 * sizes[0]
+    assert {x.source: x for x in report}["tiny"].share < 0.1 and {x.source: x for x in report}["tiny"].most_copies == 2

@@ -179,14 +179,15 @@ class Diffusion:
         return low + extra
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, soft_cap: int = 1, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, soft_cap: int = 1, vocabulary: str = VOCABULARY, keep_shares: bool = True) -> DataFrame:
     """``doc_id, source, tokens, copies, p`` of each document that is used.
 
     ``documents`` has ``doc_id, text, source``; ``targets`` has ``source,
     target_share, max_repeats``, at most MAX_SOURCES of them. Shares of sources
     that don't exist are spread over the others. ``total_tokens`` is the size
     aimed at, by default the largest at which every existing source can keep its
-    share. A document of a null or blank source belongs softly to all sources
+    share; without ``keep_shares`` all tokens of known sources, if that is more,
+    and a source that its cap keeps from its share falls short. A document of a null or blank source belongs softly to all sources
     (``p``, in the order of their names; null for a known source) and is used at
     most ``soft_cap`` times; a source without a target is not used. Rows
     repeating a ``doc_id`` count once. Documents without tokens are not used,
@@ -211,7 +212,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     share = np.array([float(r.share) for r in listed]) * (known > 0)
     share = share / share.sum() if share.sum() else share
     able = [c * t / s for c, t, s in zip(caps, known, share) if s > 0]
-    total = float(total_tokens or min(able, default=0.0))
+    largest = min(able, default=0.0)
+    total = float(total_tokens or (largest if keep_shares else max(largest, known.sum())))
     model = spark.sparkContext.broadcast(fit_classifier(features, names))
     soft = checkpointed(
         rows.where("source is null").select("doc_id", "tokens", "bucket", "count").mapInArrow(_membership(model, caps), f"doc_id {kind}, tokens bigint, p array<double>")
@@ -238,8 +240,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
 
 
 def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, target_share, share, expected_share, documents, tokens, most_copies``, one row a target source and one for unknown ones.
+    """``source, target_share, share, expected_share, documents, tokens, most_copies, size``, one row a target source and one for unknown ones.
 
+    ``size`` is the tokens of the whole mixture, the same in each row.
     ``share`` counts documents by their recorded source; ``expected_share`` deals
     those of unknown source out by their membership.
     """
@@ -260,6 +263,6 @@ def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
             "source", "target_share",
             F.round(F.coalesce("tokens", F.lit(0)) / F.col("all"), 6).alias("share"),
             F.round((F.when(F.col("source").isNotNull(), F.coalesce("tokens", F.lit(0)) + F.coalesce("dealt", F.lit(0.0)))) / F.col("all"), 6).alias("expected_share"),
-            F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+            F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("all", F.lit(0)).alias("size"),
         )
     )
