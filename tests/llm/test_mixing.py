@@ -55,3 +55,11 @@ def test_size_and_falling_short(spark):
         assert {x["size"] for x in report} == {sizes[-1]}
     assert sizes[1] > 20 * sizes[0]
     assert {x.source: x for x in report}["tiny"].share < 0.1 and {x.source: x for x in report}["tiny"].most_copies == 2
+
+
+def test_texts_of_one_id(spark):
+    rows = [(None, "stone gate", "a"), (None, "river lamp", "a"), (3, "stone gate", "b"), (3, "river lamp", "b"), (4, "stone gate", None), (4, "river lamp", None)]
+    df = spark.createDataFrame(rows + rows, "doc_id bigint, text string, source string").coalesce(1)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
+    used = mix_sources(df, targets, total_tokens=10_000).collect()
+    assert sorted((str(x.doc_id), str(x.source), x.copies) for x in used) == [("3", "b", 1)] * 2 + [("4", "None", 1)] * 2 + [("None", "a", 1)] * 2

@@ -46,3 +46,9 @@ def test_texts(spark):
     packed = pack_documents(df).collect()
     assert sum(x.tokens for x in packed) == sum(n.values())
     assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_texts_of_one_id(spark):
+    texts = [(None, "The gate."), (None, "The lamp."), (7, "The gate."), (7, "The lamp."), (7, None), (7, "")]
+    df = spark.createDataFrame(texts + texts[:3], "doc_id bigint, text string")
+    assert sorted((str(x.doc_id), x.tokens) for x in pack_documents(df).collect()) == [("7", 0), ("7", 3), ("7", 3), ("None", 3), ("None", 3)]

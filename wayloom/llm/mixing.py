@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.llm.packing import text_digest
 from wayloom.llm.tokens import VOCABULARY, encode
 from wayloom.session import checkpointed
 
@@ -31,17 +32,17 @@ MAX_SOURCES = 2000
 
 
 def _feature_batches(names: list[str], vocabulary: str):
-    """(doc_id, source, tokens, bucket, count): documents, with buckets where the source is unknown; and each task's counts by source."""
+    """(doc_id, digest, source, tokens, bucket, count): documents, with buckets where the source is unknown; and each task's counts by source."""
     known = set(names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        columns = ["doc_id", "source", "tokens", "bucket", "count"]
+        columns = ["doc_id", "digest", "source", "tokens", "bucket", "count"]
         ints = pa.list_(pa.int32())
-        key_type = None
+        key_type = digest_type = None
         for batch in batches:
             sources = batch.column("source").to_pylist()
-            key_type = batch.column("doc_id").type
+            key_type, digest_type = batch.column("doc_id").type, batch.column("digest").type
             buckets, numbers, tokens = [], [], []
             for source, ids in zip(sources, encode(batch.column("text").to_pylist(), vocabulary)):
                 tokens.append(len(ids))
@@ -53,13 +54,13 @@ def _feature_batches(names: list[str], vocabulary: str):
                 buckets.append(list(at) if unknown else None)
                 numbers.append(own[at].tolist() if unknown else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s if s and s.strip() else None for s in sources], pa.string()), pa.array(tokens, pa.int64()), pa.array(buckets, ints), pa.array(numbers, ints)],
+                [batch.column("doc_id"), batch.column("digest"), pa.array([s if s and s.strip() else None for s in sources], pa.string()), pa.array(tokens, pa.int64()), pa.array(buckets, ints), pa.array(numbers, ints)],
                 names=columns,
             )
         for source, own in counts.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, key_type), pa.array([source]), pa.array([-1], pa.int64()), pa.array([at.tolist()], ints), pa.array([own[at].tolist()], ints)], names=columns
+                [pa.nulls(1, key_type), pa.nulls(1, digest_type), pa.array([source]), pa.array([-1], pa.int64()), pa.array([at.tolist()], ints), pa.array([own[at].tolist()], ints)], names=columns
             )
 
     return read
@@ -190,7 +191,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     and a source that its cap keeps from its share falls short. A document of a null or blank source belongs softly to all sources
     (``p``, in the order of their names; null for a known source) and is used at
     most ``soft_cap`` times; a source without a target is not used. Rows
-    repeating a ``doc_id`` count once. Documents without tokens are not used,
+    repeating a ``doc_id`` with the same text and source count once. Documents without tokens are not used,
     and without targets nothing is.
     """
     listed = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").limit(MAX_SOURCES + 1).collect()
@@ -202,10 +203,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     kind = documents.schema["doc_id"].dataType.simpleString()
     if not names:
         return spark.createDataFrame([], f"doc_id {kind}, source string, tokens bigint, copies int, p array<double>")
-    schema = f"doc_id {kind}, source string, tokens bigint, bucket array<int>, count array<int>"
-    features = checkpointed(documents.select("doc_id", "text", "source").mapInArrow(_feature_batches(names, vocabulary), schema))
-    rows = features.where("tokens > 0").groupBy("doc_id", "source", "tokens").agg(F.first("bucket").alias("bucket"), F.first("count").alias("count"))
-    known_docs = features.where("tokens > 0 and source is not null").select("doc_id", "source", "tokens").distinct()
+    schema = f"doc_id {kind}, digest binary, source string, tokens bigint, bucket array<int>, count array<int>"
+    features = checkpointed(documents.select("doc_id", "text", "source", text_digest().alias("digest")).mapInArrow(_feature_batches(names, vocabulary), schema))
+    rows = features.where("tokens > 0").groupBy("doc_id", "digest", "source", "tokens").agg(F.first("bucket").alias("bucket"), F.first("count").alias("count"))
+    known_docs = features.where("tokens > 0 and source is not null").select("doc_id", "digest", "source", "tokens").distinct().drop("digest")
     sums = {r.source: float(r.t) for r in known_docs.groupBy("source").agg(F.sum("tokens").alias("t")).collect() if r.source in set(names)}
     known = np.array([sums.get(n, 0.0) for n in names])
     caps = np.array([float(r.cap) for r in listed])

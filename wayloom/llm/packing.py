@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.tokens import VOCABULARY, encode
@@ -69,15 +69,25 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], lis
     return bins, fills
 
 
-def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, tokens`` of each row of ``documents`` (``doc_id, text``); 0 for null and empty text."""
+def text_digest() -> Column:
+    """Digest of ``text``, by which rows of one ``doc_id`` are told apart; null and empty text are the same."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def _counted(documents: DataFrame, vocabulary: str) -> DataFrame:
+    """``doc_id, digest, tokens`` of each row."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [len(ids) for ids in encode(batch.column("text").to_pylist(), vocabulary)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(n, pa.int64())], names=["doc_id", "digest", "tokens"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, tokens bigint")
+    return documents.select("doc_id", "text", text_digest().alias("digest")).mapInArrow(count, f"doc_id {kind}, digest binary, tokens bigint")
+
+
+def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id, tokens`` of each row of ``documents`` (``doc_id, text``); 0 for null and empty text."""
+    return _counted(documents, vocabulary).drop("digest")
 
 
 def _packer(capacity: int, windows: int):
@@ -135,12 +145,13 @@ def pack_documents(
     A document of at most ``capacity`` tokens is one piece; a longer one is split
     into full pieces and a rest (``piece`` from 0, ``start`` in tokens). No
     container holds more than ``capacity``. Rows repeating a ``doc_id`` with the
-    same size count once; null ids are ids. Documents without tokens take no
+    same text (of ``sizes``: with the same size) count once; null ids are ids, and
+    different texts under one id are documents of their own. Documents without tokens take no
     room: their container is null. ``sizes`` (``doc_id, tokens``) stands in for
     counting tokens. Which container a document gets depends on the order in
     which tasks see documents, which is written down once.
     """
-    counted = (sizes if sizes is not None else token_counts(documents, vocabulary)).distinct()
+    counted = sizes.distinct() if sizes is not None else _counted(documents, vocabulary).distinct().drop("digest")
     kind = counted.schema["doc_id"].dataType.simpleString()
     # read several times and not repeatable in its order: written to the shared checkpoint folder
     placed = checkpointed(
