@@ -36,3 +36,15 @@ def test_far_out_is_named(spark):
     mild = [r for r in rows if r.far_out > 0.5 and max(r[f"z_{s}"] for s in TAILS) <= NAMED]
     assert mild and all(r.tails for r in mild)
     assert all(not r.tails for r in rows if r.far_out <= 0.5)
+
+
+def test_all_statistics_are_scored(spark):
+    df = spark.createDataFrame([(i, PROSE.format(i) * (1 + i % 5), "en") for i in range(60)] + [(99, PROSE.format(1) * 400, "en")], "doc_id bigint, text string, lang string")
+    last = {r.doc_id: r for r in score_texts(df).collect()}[99]
+    assert last.z_words > 50 and last.tails == [] and abs(last.z_mean_word_length) < 1 and last.z_punctuated_lines == 0
+
+
+def test_variety_sees_the_last_words():
+    varied = " ".join("abcdefghijklmnopqrstuvwx")
+    assert statistics(varied + " word" * 23, "en")[1]["word_variety"] < statistics(varied, "en")[1]["word_variety"] - 0.3
+    assert statistics(varied + " " + varied, "en")[1]["word_variety"] == statistics(varied, "en")[1]["word_variety"]

@@ -61,9 +61,15 @@ TAILS = {
 }
 #: How far out, over all tails together, a document is no prose; and a single statistic is named.
 FAR, NAMED = 6.5, 3.0
-#: Statistics that are reported only.
-REPORTED = ["words", "mean_word_length", "lines", "punctuated_lines"]
-STATISTICS = [*REPORTED, *TAILS]
+#: Statistics that are scored and reported but flag nothing.
+REPORTED = {
+    "words": Tail(+1, 5.0),
+    "mean_word_length": Tail(+1, 0.25),
+    "lines": Tail(+1, 0.5),
+    "punctuated_lines": Tail(-1, 0.05),
+}
+SCORED = REPORTED | TAILS
+STATISTICS = [*SCORED]
 #: Words in which variety is measured, so that it doesn't fall with length.
 WINDOW = 24
 
@@ -102,7 +108,7 @@ def statistics(text: str | None, code: str | None) -> tuple[str, dict[str, float
     ends = len(_END.findall(text))
     if lines and _BULLET.match(lines[0]) and len(lines) > 1:
         ends = sum(finished)  # 1. or a) end no sentence
-    variety = [len(set(found[i : i + WINDOW])) / len(found[i : i + WINDOW]) for i in range(0, n, WINDOW) if i == 0 or i + WINDOW <= n]
+    variety = [len(set(found[i : i + WINDOW])) / len(found[i : i + WINDOW]) for i in [*(i for i in range(0, n, WINDOW) if i == 0 or i + WINDOW <= n), *([n - WINDOW] if n > WINDOW and n % WINDOW else [])]]
     short = max(0, WINDOW - n)
     strong = len(_STRONG.findall(text)) - len(_QUOTED_END.findall(text)) if "«" in text else len(_STRONG.findall(text))
     return language(code, found), {
@@ -143,18 +149,18 @@ def score_texts(documents: DataFrame, far: float = FAR) -> DataFrame:
     """The statistics of each document, their robust z-scores (``z_...``), ``far_out`` and ``tails``.
 
     ``z`` is positive towards the suspect side of a statistic. ``far_out`` is the
-    length of the vector of positive scores; beyond ``far`` a document is no
+    length of the vector of positive scores (those of REPORTED don't count); beyond ``far`` a document is no
     natural prose, and ``tails`` names the statistics that say so, at least the
     one furthest out (empty for prose). A record counts once: rows repeating a ``doc_id`` with the same text
     and language are one, a null id is an id. Null or empty text gives zero words
     and no tails.
     """
     stats = checkpointed(text_statistics(documents)).distinct()
-    sketch = [F.kll_sketch_agg_double(s).alias(s) for s in TAILS]
+    sketch = [F.kll_sketch_agg_double(s).alias(s) for s in SCORED]
     # one row a language, at most one more than COMMON has: bounded whatever the input
     each = stats.where("words > 0").groupBy("language").agg(*sketch).where(F.col("language") != UNKNOWN)
     # texts of no known language are held against all others: their sketch is the merged one
-    merged = each.agg(*[F.kll_merge_agg_double(s).alias(s) for s in TAILS]).select(F.lit(UNKNOWN).alias("language"), *TAILS)
+    merged = each.agg(*[F.kll_merge_agg_double(s).alias(s) for s in SCORED]).select(F.lit(UNKNOWN).alias("language"), *SCORED)
     sketches = each.unionByName(merged)
 
     def quantile(name: str, share: float):
@@ -162,11 +168,11 @@ def score_texts(documents: DataFrame, far: float = FAR) -> DataFrame:
 
     bounds = sketches.select(
         "language",
-        *[quantile(s, 0.5).alias(f"mid_{s}") for s in TAILS],
-        *[F.greatest((quantile(s, 0.75) - quantile(s, 0.25)) / 1.349, F.lit(t.floor)).alias(f"width_{s}") for s, t in TAILS.items()],
+        *[quantile(s, 0.5).alias(f"mid_{s}") for s in SCORED],
+        *[F.greatest((quantile(s, 0.75) - quantile(s, 0.25)) / 1.349, F.lit(t.floor)).alias(f"width_{s}") for s, t in SCORED.items()],
     )
     scored = stats.join(F.broadcast(bounds), "language", "left")
-    z = {s: F.coalesce((F.col(s) - F.col(f"mid_{s}")) / F.col(f"width_{s}") * t.side, F.lit(0.0)) for s, t in TAILS.items()}
+    z = {s: F.coalesce((F.col(s) - F.col(f"mid_{s}")) / F.col(f"width_{s}") * t.side, F.lit(0.0)) for s, t in SCORED.items()}
     out = scored.select("doc_id", "language", *STATISTICS, *[v.alias(f"z_{s}") for s, v in z.items()])
     square = sum((F.pow(F.greatest(F.col(f"z_{s}"), F.lit(0.0)), 2) for s in TAILS), F.lit(0.0))
     out = out.withColumn("far_out", F.when(F.col("lines") > 0, F.sqrt(square)).otherwise(0.0))

@@ -93,10 +93,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics of every document and what puts it in a tail."""
+    """The statistics and scores of every document and what puts it in a tail."""
     scored = quality.score_texts(_table(spark, sf_dir, "documents"))
     rounded = [F.round(s, 6).alias(s) for s in quality.STATISTICS]
-    return scored.select("doc_id", "language", *rounded, F.round("far_out", 3).alias("far_out"), F.array_join("tails", ",").alias("tails"))
+    scores = [F.round(f"z_{s}", 3).alias(f"z_{s}") for s in quality.STATISTICS]
+    return scored.select("doc_id", "language", *rounded, *scores, F.round("far_out", 3).alias("far_out"), F.array_join("tails", ",").alias("tails"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p4_found": p4_found, "p4_confidence": p4_confidence, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
