@@ -48,3 +48,10 @@ def test_like_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_merge_multiline_keeps_long_lines(spark, tmp_path):
+    line = [(float(k), 0.0) for k in range(1500)]
+    spark.createDataFrame([(1, line), (2, line[:3])], "ord int, geometry array<struct<x:double,y:double>>").write.parquet(str(tmp_path / "edges.parquet"))
+    got = entry.queries()["merge_multiline"](spark, str(tmp_path)).collect()
+    assert {(x.ord, x.lines, x.vertices) for x in got} == {(1, 1, 1500), (2, 1, 3)}

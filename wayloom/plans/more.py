@@ -44,7 +44,7 @@ SQL["valid_geometries"] = "SELECT ord FROM edges WHERE len(geometry) > 0"
 QUERIES["move_columns"] = lambda spark, sf_dir: tables.rename_geometry(reshape.first_column(table(spark, sf_dir, "nation"), "n_regionkey").withColumnRenamed("n_name", "shape"), "shape")
 SQL["move_columns"] = "SELECT n_regionkey, n_nationkey, n_name AS geometry FROM nation"
 QUERIES["merge_multiline"] = lambda spark, sf_dir: (
-    table(spark, sf_dir, "edges").where("size(geometry) > 1").select("ord", shapes.merge_multiline(F.array(F.slice("geometry", 2, 1000), F.reverse(F.slice("geometry", 1, 2))), 0.01).alias("m")).select("ord", F.size("m").alias("lines"), F.size(c("m")[0]).alias("vertices"))
+    table(spark, sf_dir, "edges").where("size(geometry) > 1").select("ord", shapes.merge_multiline(F.array(F.slice("geometry", F.lit(2), F.size("geometry")), F.reverse(F.slice("geometry", 1, 2))), 0.01).alias("m")).select("ord", F.size("m").alias("lines"), F.size(c("m")[0]).alias("vertices"))
 )
 QUERIES["find_parallel"] = lambda spark, sf_dir: (
     table(spark, sf_dir, "edges").where("size(geometry) > 2").select("ord", L.parallel_part(F.array(F.get("geometry", F.lit(1)), F.struct((F.get("geometry", F.lit(1))["x"] + 1).alias("x"), F.get("geometry", F.lit(1))["y"].alias("y"))), c("geometry")).alias("p")).select("ord", r(L.length(c("p")), "length", 3)).where("length is not null")
