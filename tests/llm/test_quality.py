@@ -1,16 +1,34 @@
-from wayloom.llm.quality import NAMED, TAILS, language, score_texts, statistics
+import pytest
+
+from wayloom.llm.quality import NAMED, TAILS, common_words, score_texts, text_statistics
 
 PROSE = "The old clerk needed the lamp near the harbour. After {} days the young teacher painted the cart, and the road crew was wet. "
+COMMON = {"en": ["after", "and", "in", "of", "old", "the", "was"], "de": ["der", "die", "und"]}
+
+
+def measured(spark, *rows, common=COMMON):
+    df = spark.createDataFrame([(i, t, code) for i, (t, code) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    return [r for r in text_statistics(df, common).orderBy("doc_id").collect()]
+
+
+def test_statistics(spark):
+    cat, none, blank, items, german, wild, other, long = measured(
+        spark, ("The cat sat.\nIt was wet!", "EN"), (None, None), ("   ", "de"), ("- lamp\n- gate\n- well", "en"), ("Die Katze und der Hund", None), ("Lampe", "deu-AT"), ("was the", "xx"), ("word " * 100_000, "en")
+    )
+    assert cat.language == "en" and cat.words == 6 and cat.lines == 2 and cat.punctuated_lines == 1.0
+    assert abs(cat.mean_word_length - 17 / 6) < 1e-9 and cat.item_breaks == 0 and cat.common_share == (2 + 3) / (6 + 6)
+    assert none.words == 0 and none.language == "und" and blank.lines == 0 and blank.language == "de"
+    assert items.item_breaks > 0.6 and long.words == 100_000
+    assert german.language == "de" and wild.language == "de" and other.language == "en"
+    assert [r.language for r in measured(spark, ("was the", "en"), common={})] == ["und"]
 
 
-def test_statistics():
-    lang, s = statistics("The cat sat.\nIt was wet!", "EN")
-    assert lang == "en" and s["words"] == 6 and s["lines"] == 2 and s["punctuated_lines"] == 1.0
-    assert abs(s["mean_word_length"] - 17 / 6) < 1e-9 and s["item_breaks"] == 0
-    assert statistics(None, None)[1]["words"] == 0 and statistics("   ", "de")[1]["lines"] == 0
-    assert statistics("- lamp\n- gate\n- well", "en")[1]["item_breaks"] > 0.6
-    assert language("deu", []) == "de" and language(None, ["the", "of"]) == "en" and language("xx", []) == "und"
-    assert statistics("word " * 200_000, "en")[1]["words"] == 200_000
+def test_common_words_are_learned(spark):
+    own = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    rows = [(f"the lamp{own(i)} and the gate{own(i)}" if i % 2 else f"the well{own(i)}", "en") for i in range(60)] + [(f"der turm{own(i)}", "de") for i in range(40)] + [("rare", "fr"), (None, "en"), ("the", None), ("the", "no code")]
+    got = common_words(spark.createDataFrame(rows, "text string, lang string"))
+    assert got == {"de": ["der"], "en": ["and", "the"]}
+    assert common_words(spark.createDataFrame([], "text string, lang string")) == {}
 
 
 def test_flags(spark):
@@ -32,10 +50,10 @@ def test_flags(spark):
 
 def test_far_out_is_named(spark):
     df = spark.createDataFrame([(i, PROSE.format(i) * (1 + i % 5) + "and, so, on " * (i % 3), "en") for i in range(60)], "doc_id bigint, text string, lang string")
-    rows = score_texts(df, far=0.5).collect()
-    mild = [r for r in rows if r.far_out > 0.5 and max(r[f"z_{s}"] for s in TAILS) <= NAMED]
+    rows = score_texts(df, fence=0.0).collect()
+    mild = [r for r in rows if r.far_out > r.limit and max(r[f"z_{s}"] for s in TAILS) <= NAMED]
     assert mild and all(r.tails for r in mild)
-    assert all(not r.tails for r in rows if r.far_out <= 0.5)
+    assert all(not r.tails for r in rows if r.far_out <= r.limit)
 
 
 def test_all_statistics_are_scored(spark):
@@ -44,7 +62,8 @@ def test_all_statistics_are_scored(spark):
     assert last.z_words > 50 and last.tails == [] and abs(last.z_mean_word_length) < 1 and last.z_punctuated_lines == 0
 
 
-def test_variety_sees_the_last_words():
+def test_variety_sees_the_last_words(spark):
     varied = " ".join("abcdefghijklmnopqrstuvwx")
-    assert statistics(varied + " word" * 23, "en")[1]["word_variety"] < statistics(varied, "en")[1]["word_variety"] - 0.3
-    assert statistics(varied + " " + varied, "en")[1]["word_variety"] == statistics(varied, "en")[1]["word_variety"]
+    one, spoilt, twice, repeated = measured(spark, (varied, "en"), (varied + " word" * 23, "en"), (varied + " " + varied, "en"), ("went " * 40, "en"))
+    assert spoilt.word_variety < one.word_variety - 0.3 and twice.word_variety == one.word_variety == 1.0
+    assert repeated.word_variety == pytest.approx(1 / 24)

@@ -1,181 +1,209 @@
 """Per-document text statistics, their robust scores within a language, and a flag for what isn't prose.
 
-The statistics of all documents go into mergeable KLL quantile sketches, one for
-each statistic and language, built map-side and merged by Spark. Medians and
-quartiles from the sketches turn each value into a robust z-score; a document
-in a distribution's tail is marked with what sets it apart.
+1. The words of all documents are counted by language; a language's common words
+   are those that make up half of its running text. Nothing about a language is
+   given beforehand.
+2. The statistics of each document are Column expressions over its whole text.
+3. All documents' statistics go into mergeable KLL quantile sketches, one for
+   each statistic and language, built map-side and merged by Spark; medians and
+   quartiles turn each value into a robust z-score.
+4. The length of a document's vector of suspect scores goes into one more sketch,
+   whose outer fence marks the tail: what lies beyond isn't prose.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayloom.operators.staged import staged
 from wayloom.session import checkpointed
 
-# The commonest words of each language.
-COMMON = {
-    "en": "the a an and or of to in on at for with as is was were be been that this it its he she they we you us not by from had have has who which when where after before while because there their his her our but if said once",
-    "de": "der die das den dem des ein eine einen einem einer und oder von zu zum zur in im am an auf für mit als ist war waren sein dass dieser es er sie wir uns nicht bei beim aus hatte hat haben wer wo nach vor während weil dort ihr sind ohne wie",
-    "fr": "le la les l un une des du de d et ou à au aux en dans sur pour avec que qui ce cette il elle ils nous ne pas par était a ont est sont quand après avant comme personne y chez sous sans s c n qu avait",
-    "es": "el la los las un una unos y o de del a al en con por para que se es era estaba su sus no lo nos ha había quién cuando después antes porque desde hay allí nadie como sin bajo",
+# Three-letter language codes (ISO 639-2, both forms) and their two-letter ones.
+CODES = {
+    "ara": "ar", "ben": "bn", "bul": "bg", "cat": "ca", "ces": "cs", "chi": "zh", "cze": "cs", "dan": "da", "deu": "de", "dut": "nl", "ell": "el", "eng": "en",
+    "est": "et", "fin": "fi", "fra": "fr", "fre": "fr", "ger": "de", "gre": "el", "heb": "he", "hin": "hi", "hrv": "hr", "hun": "hu", "ind": "id", "ita": "it",
+    "jpn": "ja", "kor": "ko", "lav": "lv", "lit": "lt", "nld": "nl", "nor": "no", "pol": "pl", "por": "pt", "ron": "ro", "rum": "ro", "rus": "ru", "slk": "sk",
+    "slo": "sk", "slv": "sl", "spa": "es", "esp": "es", "srp": "sr", "swe": "sv", "tur": "tr", "ukr": "uk", "vie": "vi", "zho": "zh",
 }
-# Language codes in use for these languages.
-CODES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "esp": "es"}
-
 UNKNOWN = "und"
-_WORDS = {lang: frozenset(words.split()) for lang, words in COMMON.items()}
-_WORD = re.compile(r"[^\W\d_]+")
-_END = re.compile(r"[.!?…][\"'»”’“)]*(?=\s|$)")
-_FINISHED = re.compile(r"[.!?…:][\"'»”’“)]*\s*$")
-_BULLET = re.compile(r"^\s*(?:[-–—*+•·▪>]|\[.?\]|\(?\w{1,3}[.)])\s")
-_SYMBOL = re.compile(r"[^\w\s.,;:!?'\"«»„“”‘’—–\-()…¿¡]|[_\t]|\.\.\.|\?!")
-_STRONG = re.compile(r"[;:|/·•»&=\t]|(?<=\S) {3,}(?=\S)")
-_QUOTED_END = re.compile(r"[   ]»|»[,.]")
+#: A language's common words make up this share of its running text, and none less than LEAST_SHARE (so there are at most 1,000).
+COMMON_TEXT, LEAST_SHARE = 0.5, 0.001
+#: Documents that a declared language needs for words and sketches of its own; codes have two or three letters, so there are at most 18,252.
+LEAST_DOCUMENTS = 30
+#: Words in which variety is measured, so that it doesn't fall with length.
+WINDOW = 24
+#: The outer fence of the length of score vectors: so many quartile distances above the upper quartile (Tukey's "far out").
+FENCE = 3.0
+#: A single statistic is named beyond this score.
+NAMED = 3.0
+
+# Typography, in Java's syntax: words, ends of sentences, list marks, marks that prose hardly uses, marks that part items.
+_WORD = r"[\p{L}\p{M}]+"
+_END = r"[.!?…。！？][\"'»”’“)]*(?=\s|$)"
+_FINISHED = r"[.!?…:。！？][\"'»”’“)]*\s*$"
+_BULLET = r"^\s*(?:[-–—*+•·▪>]|\[.?\]|\(?\w{1,3}[.)])\s"
+_SYMBOL = r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"«»„“”‘’—–\-()…¿¡]|[_\t]|\.\.\.|\?!"
+_SEPARATOR = r"[;:|/·•&=\t]|(?<=\S) {3,}(?=\S)"
 
 
 @dataclass(frozen=True)
 class Tail:
-    """Which side of a statistic is suspect (+1 high, -1 low), and the least width of a robust deviation."""
+    """Which side of a statistic is suspect (+1 high, -1 low), and of what count it is a share (its scores are never finer than one such thing in a text of median size)."""
 
     side: int
-    floor: float
+    of: str | None = None
 
 
 #: The statistics that tell prose from lists, tables and junk, and their tails.
 TAILS = {
-    "common_share": Tail(-1, 0.05),
-    "symbol_ratio": Tail(+1, 0.004),
-    "digit_ratio": Tail(+1, 0.01),
-    "token_length": Tail(+1, 0.5),
-    "item_breaks": Tail(+1, 0.08),
-    "separator_ratio": Tail(+1, 0.02),
-    "comma_ratio": Tail(+1, 0.03),
-    "word_variety": Tail(-1, 0.06),
-    "sentence_length": Tail(+1, 3.0),
+    "common_share": Tail(-1, "words"),
+    "symbol_ratio": Tail(+1, "chars"),
+    "digit_ratio": Tail(+1, "words"),
+    "token_length": Tail(+1),
+    "item_breaks": Tail(+1, "breaks"),
+    "separator_ratio": Tail(+1, "words"),
+    "comma_ratio": Tail(+1, "words"),
+    "word_variety": Tail(-1),
+    "sentence_length": Tail(+1),
 }
-#: How far out, over all tails together, a document is no prose; and a single statistic is named.
-FAR, NAMED = 6.5, 3.0
 #: Statistics that are scored and reported but flag nothing.
-REPORTED = {
-    "words": Tail(+1, 5.0),
-    "mean_word_length": Tail(+1, 0.25),
-    "lines": Tail(+1, 0.5),
-    "punctuated_lines": Tail(-1, 0.05),
-}
+REPORTED = {"words": Tail(+1), "mean_word_length": Tail(+1), "lines": Tail(+1), "punctuated_lines": Tail(-1)}
 SCORED = REPORTED | TAILS
 STATISTICS = [*SCORED]
-#: Words in which variety is measured, so that it doesn't fall with length.
-WINDOW = 24
+#: Sizes whose medians set the finest score; they are sketched too.
+SIZES = ["chars", "breaks"]
+
+
+def declared(code: Column) -> Column:
+    """The declared language in two letters where it has such a code, else in three; null for what is no code."""
+    short = F.lower(F.regexp_extract(F.trim(code), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
+    table = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+    return F.when(F.length(short) > 0, F.coalesce(F.try_element_at(table, short), short))
+
 
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case, without digits and marks."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
-def language(code: str | None, words: list[str]) -> str:
-    """The declared language in two letters, or by common words where none or an unknown one is declared."""
-    if code:
-        short = re.split(r"[-_]", code.strip().lower())[0]
-        short = CODES.get(short, short)
-        if short in _WORDS:
-            return short
-    best = max(_WORDS, key=lambda lang: (sum(w in _WORDS[lang] for w in words), lang))
-    return best if any(w in _WORDS[best] for w in words) else UNKNOWN
-
-
-def statistics(text: str | None, code: str | None) -> tuple[str, dict[str, float]]:
-    """(language, statistics) of a text. Shares of short texts are drawn towards a middling
-    value by a few imagined words, so that three words alone are no extreme. Null and empty
-    texts have zero words and no tails."""
-    text = text or ""
-    found = [w.lower() for w in _WORD.findall(text)]
-    n = len(found)
-    tokens = text.split()
-    lines = [line for line in text.split("\n") if line.strip()]
-    chars = max(1, len(text))
-    common = max((sum(w in own for w in found) for own in _WORDS.values()), default=0)
-    letters = sum(map(len, found))
-    caps = sum(c.isupper() for c in text) > letters / 2
-    finished = [bool(_FINISHED.search(line)) for line in lines]
-    bad = 0
-    for done, following in zip(finished, lines[1:]):
-        start = following.lstrip()
-        bullet = bool(_BULLET.match(following))
-        if not done and (bullet or not (start[0].islower() or (caps and start[0].isalpha()))):
-            bad += 1
-    ends = len(_END.findall(text))
-    if lines and _BULLET.match(lines[0]) and len(lines) > 1:
-        ends = sum(finished)  # 1. or a) end no sentence
-    variety = [len(set(found[i : i + WINDOW])) / len(found[i : i + WINDOW]) for i in [*(i for i in range(0, n, WINDOW) if i == 0 or i + WINDOW <= n), *([n - WINDOW] if n > WINDOW and n % WINDOW else [])]]
-    short = max(0, WINDOW - n)
-    strong = len(_STRONG.findall(text)) - len(_QUOTED_END.findall(text)) if "«" in text else len(_STRONG.findall(text))
-    return language(code, found), {
-        "words": float(n),
-        "mean_word_length": letters / n if n else 0.0,
-        "lines": float(len(lines)),
-        "punctuated_lines": sum(finished) / len(lines) if lines else 0.0,
-        "common_share": (common + 3.0) / (n + 6.0) if tokens else 0.5,
-        "symbol_ratio": len(_SYMBOL.findall(text)) / (chars + 10.0),
-        "digit_ratio": sum(c.isdigit() for c in text) / (chars + 25.0),
-        "token_length": (sum(map(len, tokens)) + 30.0) / (len(tokens) + 6.0),
-        "item_breaks": bad / (len(lines) + ends) if lines else 0.0,
-        "separator_ratio": max(0, strong) / (n + 4.0),
-        "comma_ratio": text.count(",") / (n + 4.0),
-        "sentence_length": n / (ends + 1.0),
-        "word_variety": (sum(variety) / len(variety) * (n if n < WINDOW else WINDOW) + short * 0.9) / WINDOW if n else 0.9,
-    }
-
-
-def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, codes = batch.column("text"), batch.column("lang")
-        got = [statistics(t.as_py(), c.as_py()) for t, c in zip(texts, codes)]
-        columns = [batch.column("doc_id"), pa.array([lang for lang, _ in got], pa.string())]
-        columns += [pa.array([s[name] for _, s in got], pa.float64()) for name in STATISTICS]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "language", *STATISTICS])
-
-
-def text_statistics(documents: DataFrame) -> DataFrame:
-    """``doc_id, language`` and the statistics; one row for each row of ``documents`` (``doc_id, text, lang``)."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text", "lang").mapInArrow(
-        _stat_batches, f"doc_id {kind}, language string, " + ", ".join(f"{s} double" for s in STATISTICS)
+
+def common_words(documents: DataFrame) -> dict[str, list[str]]:
+    """The common words of each declared language with LEAST_DOCUMENTS documents, learned from all of ``documents`` (``text, lang``).
+
+    Words are counted map-side first; where half of the running text is reached
+    is read off sums over classes of equal frequency, so no language's words
+    meet in one task. The driver sees at most 1,000 words a language.
+    """
+    coded = documents.select(declared(F.col("lang")).alias("language"), "text").where("language is not null and text is not null")
+    many = [r.language for r in coded.groupBy("language").count().where(F.col("count") >= LEAST_DOCUMENTS).collect()]
+    counts = checkpointed(coded.where(F.col("language").isin(many)).select("language", F.explode(words_of(F.col("text"))).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))) if many else None
+    if counts is None:
+        return {}
+    classes = counts.withColumn("class", F.floor(F.log2("n") * 8)).groupBy("language", "class").agg(F.sum("n").alias("n"))
+    every = Window.partitionBy("language")
+    above = every.orderBy(F.col("class").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    kept = classes.withColumns({"above": F.coalesce(F.sum("n").over(above), F.lit(0)), "all": F.sum("n").over(every)}).where(F.col("above") < COMMON_TEXT * F.col("all"))
+    cut = kept.groupBy("language").agg(F.min("class").alias("class"), F.max("all").alias("all"))
+    rows = counts.join(F.broadcast(cut), "language").where((F.floor(F.log2("n") * 8) >= F.col("class")) & (F.col("n") >= LEAST_SHARE * F.col("all"))).select("language", "word").collect()
+    return {language: sorted(r.word for r in rows if r.language == language) for language in sorted(many)}
+
+
+def text_statistics(documents: DataFrame, common: dict[str, list[str]]) -> DataFrame:
+    """``doc_id, language``, the statistics and the sizes; one row for each row of ``documents`` (``doc_id, text, lang``).
+
+    A text of no declared language that has words of its own in ``common`` is
+    given the language most of whose common words it holds, or ``und``. Shares of
+    short texts are drawn towards a middling value by a few imagined words, so
+    that three words alone are no extreme. Null and empty texts have no words.
+    """
+    c = F.col
+    kind = declared(c("lang"))
+    among = lambda own: F.size(F.filter("_w", lambda w: w.isin(own)))
+    held = [F.struct(among(own).alias("n"), F.lit(language).alias("language")) for language, own in common.items() if own]
+    likely = F.array_max(F.array(*held)) if held else F.struct(F.lit(0).alias("n"), F.lit(UNKNOWN).alias("language"))
+    base = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"), "lang")
+    step = staged(base, {"_w": words_of(c("_t")), "_k": F.regexp_extract_all("_t", F.lit(r"\S+"), F.lit(0)), "_l": F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"\S")), "_known": F.coalesce(kind, F.lit(UNKNOWN))})
+    listed = sorted({w for own in common.values() for w in own})
+    letters = F.aggregate("_w", F.lit(0), lambda s, w: s + F.length(w))
+    step = staged(step, {
+        "language": F.when(c("_known").isin([*common]), c("_known")).otherwise(F.when(likely["n"] > 0, likely["language"]).otherwise(UNKNOWN)),
+        "_n": F.size("_w").cast("double"), "_letters": letters.cast("double"), "_tokens": F.size("_k").cast("double"), "_chars": F.length("_t").cast("double"),
+        "_common": (among(listed) if listed else F.lit(0)).cast("double"),
+        "_finished": F.transform("_l", lambda x: x.rlike(_FINISHED)), "_ends": F.regexp_count("_t", F.lit(_END)),
+        "_capitals": F.regexp_count("_t", F.lit(r"\p{Lu}")) > letters / 2,
+    })
+    bullet = lambda x: x.rlike(_BULLET)
+    runs_on = lambda x: x.rlike(r"^\s*\p{Ll}") | (c("_capitals") & x.rlike(r"^\s*\p{L}"))
+    rest = lambda name: F.slice(name, 2, F.greatest(F.size(name) - 1, F.lit(0)))
+    broken = F.filter(F.zip_with("_finished", rest("_l"), lambda done, line: line.isNotNull() & ~done & (bullet(line) | ~runs_on(line))), lambda b: b)
+    opens_list = (F.size("_l") > 1) & bullet(F.get("_l", F.lit(0)))
+    ends = F.when(opens_list, F.size(F.filter("_finished", lambda d: d))).otherwise(c("_ends")).cast("double")
+    n, last = c("_n"), F.greatest(F.size("_w") - WINDOW, F.lit(0))
+    starts = F.array_distinct(F.concat(F.filter(F.sequence(F.lit(0), F.size("_w"), F.lit(WINDOW)), lambda i: i <= last), F.array(last)))
+    variety = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice("_w", i + 1, F.lit(WINDOW)))) / F.least(F.size("_w"), F.lit(WINDOW)))
+    mean = F.aggregate(variety, F.lit(0.0), lambda s, v: s + v) / F.size(variety)
+    full = F.least(n, F.lit(float(WINDOW)))
+    arrows = F.when(F.contains("_t", F.lit("«")), F.lit(0)).otherwise(F.regexp_count("_t", F.lit("»")))
+    lines = F.size("_l").cast("double")
+    return staged(step, {"_e": ends}).select(
+        "doc_id", "language", n.alias("words"), F.when(n > 0, c("_letters") / n).otherwise(0.0).alias("mean_word_length"), lines.alias("lines"),
+        F.when(lines > 0, F.size(F.filter("_finished", lambda d: d)) / lines).otherwise(0.0).alias("punctuated_lines"),
+        F.when(c("_tokens") > 0, (c("_common") + 3.0) / (n + 6.0)).otherwise(0.5).alias("common_share"),
+        (F.regexp_count("_t", F.lit(_SYMBOL)) / (c("_chars") + 10.0)).alias("symbol_ratio"),
+        (F.regexp_count("_t", F.lit(r"\p{N}+")) / (c("_tokens") + 4.0)).alias("digit_ratio"),
+        ((c("_chars") - F.regexp_count("_t", F.lit(r"\s")) + 30.0) / (c("_tokens") + 6.0)).alias("token_length"),
+        F.when(lines > 0, F.size(broken) / (lines + c("_e"))).otherwise(0.0).alias("item_breaks"),
+        ((F.regexp_count("_t", F.lit(_SEPARATOR)) + arrows) / (n + 4.0)).alias("separator_ratio"),
+        (F.regexp_count("_t", F.lit("[,，、]")) / (n + 4.0)).alias("comma_ratio"),
+        F.when(n > 0, (mean * full + (WINDOW - full) * 0.9) / WINDOW).otherwise(0.9).alias("word_variety"),
+        (n / (c("_e") + 1.0)).alias("sentence_length"),
+        c("_chars").alias("chars"), (lines + c("_e")).alias("breaks"),
     )
 
 
-def score_texts(documents: DataFrame, far: float = FAR) -> DataFrame:
-    """The statistics of each document, their robust z-scores (``z_...``), ``far_out`` and ``tails``.
+def _sketches(stats: DataFrame) -> DataFrame:
+    """One row a language with a sketch of each statistic and size, and one of all together for texts of no known language."""
+    names = [*STATISTICS, *SIZES]
+    each = stats.where("words > 0").groupBy("language").agg(F.count("*").alias("_n"), *[F.kll_sketch_agg_double(s).alias(s) for s in names])
+    merged = each.agg(*[F.kll_merge_agg_double(s).alias(s) for s in names]).select(F.lit(UNKNOWN).alias("language"), *names)
+    return each.where(F.col("language") != UNKNOWN).select("language", *names).unionByName(merged)
+
+
+def score_texts(documents: DataFrame, fence: float = FENCE) -> DataFrame:
+    """The statistics of each document, their robust z-scores (``z_...``), ``far_out``, ``limit`` and ``tails``.
 
     ``z`` is positive towards the suspect side of a statistic. ``far_out`` is the
-    length of the vector of positive scores (those of REPORTED don't count); beyond ``far`` a document is no
-    natural prose, and ``tails`` names the statistics that say so, at least the
-    one furthest out (empty for prose). A record counts once: rows repeating a ``doc_id`` with the same text
-    and language are one, a null id is an id. Null or empty text gives zero words
-    and no tails.
+    length of the vector of positive scores (those of REPORTED don't count);
+    ``limit`` is the same for all documents: the upper quartile of ``far_out`` and
+    ``fence`` quartile distances more. Beyond it a document is no natural prose, and ``tails`` names the statistics that say so,
+    at least the one furthest out (empty for prose). A record counts once: rows
+    repeating a ``doc_id`` with the same text and language are one, a null id is
+    an id. Null or empty text gives zero words and no tails. Texts of a language
+    with too few documents for sketches are held against all together.
     """
-    stats = checkpointed(text_statistics(documents)).distinct()
-    sketch = [F.kll_sketch_agg_double(s).alias(s) for s in SCORED]
-    # one row a language, at most one more than COMMON has: bounded whatever the input
-    each = stats.where("words > 0").groupBy("language").agg(*sketch).where(F.col("language") != UNKNOWN)
-    # texts of no known language are held against all others: their sketch is the merged one
-    merged = each.agg(*[F.kll_merge_agg_double(s).alias(s) for s in SCORED]).select(F.lit(UNKNOWN).alias("language"), *SCORED)
-    sketches = each.unionByName(merged)
-
-    def quantile(name: str, share: float):
+    rows = documents.select("doc_id", "text", "lang")
+    stats = checkpointed(text_statistics(rows, common_words(rows))).distinct()
+    sketches = checkpointed(_sketches(stats))  # one row a language: bounded whatever the input
+
+    def quantile(name: str, share: float) -> Column:
         return F.kll_sketch_get_quantile_double(F.col(name), F.lit(share))
 
-    bounds = sketches.select(
-        "language",
-        *[quantile(s, 0.5).alias(f"mid_{s}") for s in SCORED],
-        *[F.greatest((quantile(s, 0.75) - quantile(s, 0.25)) / 1.349, F.lit(t.floor)).alias(f"width_{s}") for s, t in SCORED.items()],
-    )
+    def width(name: str, tail: Tail) -> Column:
+        spread = (quantile(name, 0.75) - quantile(name, 0.25)) / 1.349
+        one = 1.0 / F.greatest(quantile(tail.of, 0.5), F.lit(1.0)) if tail.of else F.lit(0.0)
+        return F.greatest(spread, one, 0.05 * F.abs(quantile(name, 0.5)), F.lit(1e-6))
+
+    bounds = sketches.select("language", *[quantile(s, 0.5).alias(f"mid_{s}") for s in SCORED], *[width(s, t).alias(f"width_{s}") for s, t in SCORED.items()])
     scored = stats.join(F.broadcast(bounds), "language", "left")
     z = {s: F.coalesce((F.col(s) - F.col(f"mid_{s}")) / F.col(f"width_{s}") * t.side, F.lit(0.0)) for s, t in SCORED.items()}
     out = scored.select("doc_id", "language", *STATISTICS, *[v.alias(f"z_{s}") for s, v in z.items()])
     square = sum((F.pow(F.greatest(F.col(f"z_{s}"), F.lit(0.0)), 2) for s in TAILS), F.lit(0.0))
     out = out.withColumn("far_out", F.when(F.col("lines") > 0, F.sqrt(square)).otherwise(0.0))
+    sketch = out.where("lines > 0").agg(F.kll_sketch_agg_double("far_out").alias("q"))
+    low, high = quantile("q", 0.25), quantile("q", 0.75)
+    out = out.join(F.broadcast(sketch.select((high + fence * (high - low)).alias("limit"))))
     furthest = F.greatest(*[F.col(f"z_{s}") for s in TAILS])
     named = F.array_compact(F.array(*[F.when((F.col(f"z_{s}") > NAMED) | (F.col(f"z_{s}") == furthest), F.lit(s)) for s in TAILS]))
-    return out.withColumn("tails", F.when(F.col("far_out") > far, named).otherwise(F.array().cast("array<string>")))
+    return out.withColumn("tails", F.when(F.col("far_out") > F.col("limit"), named).otherwise(F.array().cast("array<string>")))

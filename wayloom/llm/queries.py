@@ -89,7 +89,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text is a list, a table or junk."""
-    return quality.score_texts(_table(spark, sf_dir, "documents")).where(F.col("far_out") > quality.FAR).select("doc_id")
+    return quality.score_texts(_table(spark, sf_dir, "documents")).where(F.col("far_out") > F.col("limit")).select("doc_id")
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
