@@ -64,7 +64,7 @@ def test_far_out_is_named(spark):
 def test_all_statistics_are_scored(spark):
     df = spark.createDataFrame([(i, PROSE.format(i) * (1 + i % 5), "en") for i in range(60)] + [(99, PROSE.format(1) * 400, "en")], "doc_id bigint, text string, lang string")
     last = {r.doc_id: r for r in score_texts(df).collect()}[99]
-    assert last.z_words > 50 and last.tails == [] and abs(last.z_mean_word_length) < 1 and last.z_punctuated_lines == 0
+    assert last.z_words > 50 and abs(last.z_mean_word_length) < 1 and last.z_punctuated_lines == 0 and not {"words", "lines"} & set(last.tails)
 
 
 def test_variety_sees_the_last_words(spark):

@@ -51,7 +51,7 @@ _SEPARATOR = r"[;:|/·•&=\t]|(?<=\S) {3,}(?=\S)"
 
 @dataclass(frozen=True)
 class Tail:
-    """Which side of a statistic is suspect (+1 high, -1 low), and of what count it is a share (its scores are never finer than one such thing in a text of median size)."""
+    """Which side of a statistic is suspect (+1 high, -1 low), and of what count it is a share (a score is never finer than half of one such thing in a text of median size)."""
 
     side: int
     of: str | None = None
@@ -192,7 +192,7 @@ def score_texts(documents: DataFrame, fence: float = FENCE) -> DataFrame:
 
     def width(name: str, tail: Tail) -> Column:
         spread = (quantile(name, 0.75) - quantile(name, 0.25)) / 1.349
-        one = 1.0 / F.greatest(quantile(tail.of, 0.5), F.lit(1.0)) if tail.of else F.lit(0.0)
+        one = 0.5 / F.greatest(quantile(tail.of, 0.5), F.lit(1.0)) if tail.of else F.lit(0.0)
         return F.greatest(spread, one, 0.05 * F.abs(quantile(name, 0.5)), F.lit(1e-6))
 
     bounds = sketches.select("language", *[quantile(s, 0.5).alias(f"mid_{s}") for s in SCORED], *[width(s, t).alias(f"width_{s}") for s, t in SCORED.items()])
