@@ -1,18 +1,22 @@
 """Matching street sections of two sources that share no key.
 
 Both sides are dealt out over the leaves of a quadtree, with replication at the
-leaves' edges. In each leaf
+leaves' edges; a leaf with too many rows is split further where it is worked on.
+In each leaf
 
 1. records, their attributes and the attributes' tokens (cells of the plane,
    pieces of names, classes, lengths) form a graph, and random walks over it
    train skip-gram vectors of the tokens;
-2. a record's vector is the weighted mean of its tokens' vectors; signs against
-   random hyperplanes hash it into several tables, and records that share a
-   bucket in any table are candidates, however full the bucket;
-3. candidates are measured exactly: how far the shorter runs along the longer,
-   how far apart, and whether the names agree;
-4. the share of exact matches among candidates of equal cosine calibrates cosine
-   scores to confidences, by isotonic regression over bins of all leaves.
+2. a record's vector is the weighted mean of its tokens' vectors, less the mean
+   of all records; signs against random hyperplanes hash it into several tables,
+   and records that share a bucket in any table are candidates, however full;
+3. candidates are reranked exactly: how far the shorter runs along the longer,
+   how far apart, and how alike the names are.
+
+Over all leaves, a mixture of two classes (the same street or not) is fitted to
+the counts of what was seen: the cosine of the vectors without names, the
+distance, the overlap and the names. Its posterior is the confidence: the cosine
+calibrated, with what the exact measures add, by weights that the data give.
 
 A pair counts in the leaf that owns its reference point, so each comes out once.
 """
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.operators.proximity import PackedRTree, Shapes, _lists, _ramp, assigner, learn_quadtree
+from wayloom.operators.proximity import PackedRTree, QuadTree, Shapes, _lists, _ramp, assigner, learn_quadtree
 from wayloom.session import checkpointed
 
 # Words of street names that say the kind of street or the direction.
@@ -46,19 +51,20 @@ class Settings:
     reach: float = 20.0  # farthest that two drawings of one street lie apart, in map units
     cell: float = 64.0  # side of the cells that places are told by; each is used on two shifted grids
     dimensions: int = 40
-    walks: int = 2
+    walks: int = 16
     steps: int = 5
     window: int = 2
-    negatives: int = 2
-    rate: float = 0.08
-    tables: int = 48
-    bits: int = 7
+    negatives: int = 1
+    rate: float = 0.2
+    tables: int = 32
+    bits: int = 12
     overlap: float = 0.5  # of the shorter section
     same_name: float = 0.75  # likeness of names that counts as agreeing
-    blind: float = 5.0  # how far apart sections may lie whose names say nothing
-    bins: int = 40
+    name_trust: float = 0.99  # share of pairs with agreeing names that are one street, and of others that aren't
+    least_confidence: float = 0.5
     leaf_rows: int = 800
     seed: int = 11
+    trained: bool = True  # without, token vectors keep their random start: what training is held against
 
 
 DEFAULT = Settings()
@@ -109,6 +115,8 @@ def token_vectors(record: np.ndarray, token: np.ndarray, weight: np.ndarray, n_r
     d = s.dimensions
     vectors = rng.standard_normal((n_tokens, d)) / np.sqrt(d)
     context = np.zeros((n_tokens, d))
+    if not s.trained:
+        return vectors
 
     def chooser(key: np.ndarray, value: np.ndarray, count: int):
         order = np.argsort(key, kind="stable")
@@ -153,19 +161,27 @@ def token_vectors(record: np.ndarray, token: np.ndarray, weight: np.ndarray, n_r
     return vectors
 
 
-def record_vectors(edges: list[tuple[int, object, float]], n_records: int, s: Settings, seed: int) -> np.ndarray:
-    """Unit vectors of the records: the weighted mean of their tokens' vectors."""
+def record_vectors(edges: list[tuple[int, object, float]], n_records: int, s: Settings, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the records, with and without the tokens of their names: the weighted mean of their tokens' vectors."""
     numbers: dict = {}
     token = np.array([numbers.setdefault(t, len(numbers)) for _, t, _ in edges], dtype=np.int64)
     record = np.array([r for r, _, _ in edges], dtype=np.int64)
     weight = np.array([w for _, _, w in edges])
     vectors = token_vectors(record, token, weight, n_records, len(numbers), s, seed)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    order = np.argsort(record, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(record[order]) != 0]))
-    out = np.zeros((n_records, s.dimensions))
-    out[record[order][first]] = np.add.reduceat(vectors[token[order]] * weight[order][:, None], first)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    named = np.array([isinstance(t, str) and t.startswith("n:") for t in numbers])
+
+    def mean(weight: np.ndarray) -> np.ndarray:
+        order = np.argsort(record, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(record[order]) != 0]))
+        out = np.zeros((n_records, s.dimensions))
+        out[record[order][first]] = np.add.reduceat(vectors[token[order]] * weight[order][:, None], first)
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        if n_records > s.dimensions:  # all vectors share a direction, which tells nothing apart
+            out -= out.mean(axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    return mean(weight), mean(np.where(named[token], 0.0, weight))
 
 
 def candidates(a: np.ndarray, b: np.ndarray, s: Settings, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,15 +272,9 @@ class NameLikeness:
         return got
 
 
-def accepted(overlap: np.ndarray, offset: np.ndarray, names: list[float | None], s: Settings) -> np.ndarray:
-    """Which measured pairs are the same stretch of the same street."""
-    limit = np.array([s.blind if n is None else s.reach if n >= s.same_name else 0.0 for n in names])
-    return (overlap >= s.overlap) & (offset <= limit) & (limit > 0)
-
-
 # --- a leaf ---------------------------------------------------------------
 
-_OUT = "target_id {}, match_id {}, cosine double, overlap double, offset double, likeness double, bin int, hits bigint, misses bigint"
+_OUT = "target_id {}, match_id {}, cosine double, place double, overlap double, offset double, likeness double"
 
 
 def _side(table: pa.Table) -> tuple[pa.Table, Shapes]:
@@ -275,76 +285,88 @@ def _side(table: pa.Table) -> tuple[pa.Table, Shapes]:
     return table, Shapes.of(xy, sizes.to_numpy(zero_copy_only=False).astype(np.int64))
 
 
+def _blocks(a: Shapes, b: Shapes, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, Callable]]:
+    """(rows of a, rows of b, which reference points are its own) of each part of a leaf: the whole leaf unless it holds too many rows."""
+    if len(a.size) + len(b.size) <= 4 * s.leaf_rows:
+        yield np.arange(len(a.size)), np.arange(len(b.size)), lambda x, y: np.ones(len(x), dtype=bool)
+        return
+    tree = QuadTree.build(np.concatenate([a.segment[a.start, :2], b.segment[b.start, :2]]), s.leaf_rows, 3 * s.reach)
+    rows, parts = tree.cover(a.box + np.array([-s.reach, -s.reach, s.reach, s.reach]))
+    cols, theirs = tree.cover(b.box)
+    for part in np.intersect1d(parts, theirs).tolist():
+        yield rows[parts == part], cols[theirs == part], lambda x, y, part=part: tree.locate(x, y) == part
+
+
+def _taken(shapes: Shapes, rows: np.ndarray) -> Shapes:
+    n = shapes.size[rows]
+    return Shapes(shapes.segment[np.repeat(shapes.start[rows], n) + _ramp(n)], np.cumsum(n) - n, n)
+
+
 def _leaf_matcher(tree_of, s: Settings, schema: pa.Schema, exhaustive: bool):
-    def match(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        leaf, salt, tree = key[0].as_py(), key[1].as_py(), tree_of()
-        (lt, a), (rt, b) = _side(left), _side(right)
+    grow = np.array([-s.reach, -s.reach, s.reach, s.reach])
+
+    def pairs(lt: pa.Table, a: Shapes, rt: pa.Table, b: Shapes, mine, seed: int) -> Iterator[pa.Table]:
         cores = [[name_core(n) for n in t.column("name").to_pylist()] for t in (lt, rt)]
+        va = vb = pa_ = pb = np.zeros((0, 0))
         if exhaustive:  # every pair whose boxes meet: what the blocking is held against
-            i, j = PackedRTree(b.box).probe(a.box + np.array([-s.reach, -s.reach, s.reach, s.reach]))
-            cosine = np.zeros(len(i))
-        else:
+            i, j = PackedRTree(b.box).probe(a.box + grow)
+        if not exhaustive or s.trained:
             edges, base = [], 0
             for side, (t, shapes) in enumerate(((lt, a), (rt, b))):
                 lengths = np.nan_to_num(t.column("length").to_numpy().astype(float))
                 made = tokens_of(shapes, cores[side], t.column("kind").to_pylist(), lengths, side, s)
                 edges += [(r + base, token, w) for r, token, w in made]
                 base += len(shapes.size)
-            v = record_vectors(edges, base, s, s.seed + 7919 * leaf + salt)
-            va, vb = v[: len(a.size)], v[len(a.size) :]
-            i, j = candidates(va, vb, s, s.seed + leaf)
-            cosine = np.einsum("ij,ij->i", va[i], vb[j])
-        grown, box = a.box + np.array([-s.reach, -s.reach, s.reach, s.reach]), b.box
-        meets = (grown[i, 0] <= box[j, 2]) & (grown[i, 2] >= box[j, 0]) & (grown[i, 1] <= box[j, 3]) & (grown[i, 3] >= box[j, 1])
-        meets_at = np.flatnonzero(meets)
-        mine = np.ones(len(i), dtype=bool)
-        mine[meets_at] = tree.locate(np.maximum(grown[i[meets_at], 0], box[j[meets_at], 0]), np.maximum(grown[i[meets_at], 1], box[j[meets_at], 1])) == leaf
-        bins = np.clip(np.floor((cosine + 1) / 2 * s.bins), 0, s.bins - 1).astype(np.int64)
-        near = np.flatnonzero(meets & mine)
-        ni, nj = i[near], j[near]
-        overlap, offset = (np.concatenate(x) for x in zip(*[along(a, b, ni[k : k + 20_000], nj[k : k + 20_000]) for k in range(0, len(ni), 20_000)])) if len(ni) else (np.zeros(0), np.zeros(0))
-        beside = np.flatnonzero((overlap >= s.overlap) & (offset <= s.reach))
-        like = NameLikeness(s.same_name)
-        names = [like(cores[0][x], cores[1][y]) for x, y in zip(ni[beside].tolist(), nj[beside].tolist())]
-        good = accepted(overlap[beside], offset[beside], names, s)
-        won = near[beside[good]]
-        hits = np.bincount(bins[won], minlength=s.bins)
-        # pairs of another leaf are counted there; far ones are misses here
-        misses = np.bincount(bins[mine], minlength=s.bins) - hits
-        n, m = len(won), s.bins
-        null = pa.nulls
-        columns = [
-            pa.concat_arrays([lt.column("key").combine_chunks().take(pa.array(i[won])), null(m, schema.field(0).type)]),
-            pa.concat_arrays([rt.column("key").combine_chunks().take(pa.array(j[won])), null(m, schema.field(1).type)]),
-            pa.concat_arrays([pa.array(cosine[won]), null(m, pa.float64())]),
-            pa.concat_arrays([pa.array(overlap[beside[good]]), null(m, pa.float64())]),
-            pa.concat_arrays([pa.array(offset[beside[good]]), null(m, pa.float64())]),
-            pa.array([x for x, g in zip(names, good) if g] + [None] * m, pa.float64()),
-            pa.array(np.concatenate([bins[won], np.arange(m)]), pa.int32()),
-            pa.concat_arrays([null(n, pa.int64()), pa.array(hits)]),
-            pa.concat_arrays([null(n, pa.int64()), pa.array(misses)]),
-        ]
-        return pa.Table.from_arrays(columns, schema=schema)
+            v, p = record_vectors(edges, base, s, seed)
+            va, vb, pa_, pb = v[: len(a.size)], v[len(a.size) :], p[: len(a.size)], p[len(a.size) :]
+            if not exhaustive:
+                i, j = candidates(va, vb, s, seed)
+        grown, box = a.box + grow, b.box
+        near = np.flatnonzero((grown[i, 0] <= box[j, 2]) & (grown[i, 2] >= box[j, 0]) & (grown[i, 1] <= box[j, 3]) & (grown[i, 3] >= box[j, 1]))
+        i, j = i[near], j[near]
+        own = mine(np.maximum(grown[i, 0], box[j, 0]), np.maximum(grown[i, 1], box[j, 1]))
+        i, j = i[own], j[own]
+        like = NameLikeness(0.5)
+        for k in range(0, len(i), 20_000):
+            x, y = i[k : k + 20_000], j[k : k + 20_000]
+            overlap, offset = along(a, b, x, y)
+            beside = np.flatnonzero((overlap >= s.overlap) & (offset <= s.reach))
+            x, y, overlap, offset = x[beside], y[beside], overlap[beside], offset[beside]
+            names = [like(cores[0][m], cores[1][n]) for m, n in zip(x.tolist(), y.tolist())]
+            cosine, place = ((np.einsum("ij,ij->i", u[x], w[y]) if len(u) else np.zeros(len(x))) for u, w in ((va, vb), (pa_, pb)))
+            columns = [lt.column("key").combine_chunks().take(pa.array(x)), rt.column("key").combine_chunks().take(pa.array(y)), *(pa.array(c) for c in (cosine, place, overlap, offset)), pa.array(names, pa.float64())]
+            yield pa.Table.from_arrays(columns, schema=schema)
+
+    def match(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return schema.empty_table()
+        leaf, salt, tree = key[0].as_py(), key[1].as_py(), tree_of()
+        (lt, a), (rt, b) = _side(left), _side(right)
+        out = [schema.empty_table()]
+        for part, (rows, cols, inside) in enumerate(_blocks(a, b, s)):
+            mine = lambda x, y: (tree.locate(x, y) == leaf) & inside(x, y)  # noqa: B023, E731
+            out += pairs(lt.take(pa.array(rows)), _taken(a, rows), rt.take(pa.array(cols)), _taken(b, cols), mine, s.seed + 7919 * leaf + 31 * part + salt)
+        return pa.concat_tables(out)
 
     return match
 
 
-def matched_sections(targets: DataFrame, matches: DataFrame, settings: Settings = DEFAULT, exhaustive: bool = False) -> DataFrame:
-    """Accepted pairs, and for calibration the candidates of each leaf by cosine bin (rows with null ids).
+def measured_pairs(targets: DataFrame, matches: DataFrame, settings: Settings = DEFAULT, exhaustive: bool = False) -> DataFrame:
+    """``target_id, match_id, cosine, place, overlap, offset, likeness`` of candidates that run alongside each other.
 
     Both sides have ``key, g`` (``array<struct<x,y>>``), ``name, kind, length``.
     Rows that repeat a key count once; null or empty geometries match nothing;
-    null names, classes and lengths say nothing; a section of one vertex has no
-    length and matches nothing. ``exhaustive`` measures every pair whose boxes
-    meet instead of the blocked ones, to measure what blocking misses.
+    null names, classes and lengths say nothing (``likeness`` is null where a name
+    does); a section of one vertex has no length and matches nothing. ``place`` is
+    the cosine without names. ``exhaustive`` measures every pair whose boxes meet
+    instead of the blocked ones, to measure what blocking misses.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    left, right = (df.select("key", "g", "name", "kind", F.col("length").cast("double").alias("length")).where("key is not null and g is not null") for df in (targets, matches))
-    tree_of = learn_quadtree([(left, F.get("g", F.lit(0))), (right, F.get("g", F.lit(0)))], targets.count() + matches.count(), settings.leaf_rows, 3 * settings.reach)
+    # read by the count, the sample and the leaves; what precedes may be a join
+    left, right = (checkpointed(df.select("key", "g", "name", "kind", F.col("length").cast("double").alias("length")).where("key is not null and g is not null")) for df in (targets, matches))
+    tree_of = learn_quadtree([(left, F.get("g", F.lit(0))), (right, F.get("g", F.lit(0)))], left.count() + right.count(), settings.leaf_rows, 3 * settings.reach)
     kinds = [df.schema["key"].dataType.simpleString() for df in (left, right)]
     rows = "leaf int, salt int, key {}, xy array<double>, sizes array<int>, name string, kind string, length double"
     a = left.mapInArrow(assigner(tree_of, settings.reach, rings=False, first=True), rows.format(kinds[0]))
@@ -354,6 +376,25 @@ def matched_sections(targets: DataFrame, matches: DataFrame, settings: Settings
     return a.groupBy("leaf", "salt").cogroup(b.groupBy("leaf", "salt")).applyInArrow(_leaf_matcher(tree_of, settings, schema, exhaustive), out)
 
 
+# --- confidence -----------------------------------------------------------
+
+#: Bounds of the classes that measures are counted in (cosine without names; distance as a share of the reach; overlap; likeness of names, with one class more where a name says nothing).
+PLACE, OFFSET, OVERLAP, LIKENESS = (0.0, 0.2, 0.4, 0.6, 0.75, 0.85, 0.92, 0.97), (0.025, 0.05, 0.1, 0.15, 0.25, 0.4, 0.55, 0.7, 0.85), (0.6, 0.75, 0.9, 0.98), (0.5, 0.65, 0.75, 0.85, 0.95)
+FEATURES = ["place_class", "offset_class", "overlap_class", "name_class"]
+
+
+def _classed(value: Column, bounds: Sequence[float]) -> Column:
+    """How many bounds a value reaches."""
+    return sum(((value >= b).cast("int") for b in bounds), F.lit(0))
+
+
+def with_classes(pairs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    return pairs.withColumns({
+        "place_class": _classed(F.col("place"), PLACE), "offset_class": _classed(F.col("offset") / settings.reach, OFFSET), "overlap_class": _classed(F.col("overlap"), OVERLAP),
+        "name_class": F.when(F.col("likeness").isNull(), -1).otherwise(_classed(F.col("likeness"), LIKENESS)),
+    })
+
+
 def isotonic(hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Non-decreasing rates nearest to hits / counts, by pooling neighbours that violate the order."""
     blocks: list[list[float]] = []
@@ -365,25 +406,99 @@ def isotonic(hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[h / n if n else 0.0] * k for h, n, k in blocks])
 
 
-def with_confidence(matched: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Pairs with ``confidence``, the calibrated cosine raised by what the exact measures say.
-
-    The calibrated rate is that of all candidates of the cosine's bin; the
-    likelihood of the overlap, the offset and the names moves it on the log-odds
-    scale. The driver sees one row a bin.
+@dataclass
+class Mixture:
+    """Two classes of pairs; ``ratio[f][c]`` is how much likelier class c of feature f is for the same street, ``odds`` what it is beforehand."""
+
+    odds: float
+    ratio: list[np.ndarray]
+
+    @classmethod
+    def fit(cls, patterns: np.ndarray, counts: np.ndarray, settings: Settings = DEFAULT, rounds: int = 60) -> Mixture:
+        """By expectation and maximisation over counted patterns (rows of FEATURES' classes).
+
+        Pairs whose names both say something count as ``name_trust`` says; the others
+        are worked out. A feature without a class (-1) says nothing. The ratios of the cosine and
+        of the names may only rise, those of the distance only fall (isotonic
+        regression); one pair of either kind is imagined in every class.
+        """
+        widths = [len(PLACE) + 1, len(OFFSET) + 1, len(OVERLAP) + 1, len(LIKENESS) + 1]
+        agreeing = sum(b < settings.same_name + 1e-9 for b in LIKENESS)
+        names = patterns[:, 3]
+        told = np.where(names >= agreeing, settings.name_trust, 1 - settings.name_trust)
+        same = np.where(names < 0, 0.5, told)
+        model = cls(1.0, [np.ones(w) for w in widths])
+        for _ in range(rounds):
+            total = counts.sum() + 2.0
+            share = ((same * counts).sum() + 1.0) / total
+            ratio = []
+            for f, width in enumerate(widths):
+                known = patterns[:, f] >= 0
+                at, n, p = patterns[known, f], counts[known], same[known]
+                m, u = np.bincount(at, n * p, width) + 1.0, np.bincount(at, n * (1 - p), width) + 1.0
+                if f != 2:
+                    turn = slice(None, None, -1 if f == 1 else 1)
+                    rates = np.clip(isotonic(m[turn], (m + u)[turn])[turn], 1e-9, 1 - 1e-9)
+                    m, u = (m + u) * rates, (m + u) * (1 - rates)
+                ratio.append((m / m.sum()) / (u / u.sum()))
+            model = cls(share / (1 - share), ratio)
+            after = np.where(names < 0, model.posterior(patterns), told)
+            if np.abs(after - same).max(initial=0.0) < 1e-6:
+                break
+            same = after
+        return model
+
+    def posterior(self, patterns: np.ndarray, without: Sequence[int] = ()) -> np.ndarray:
+        """The share of such pairs that are the same street; ``without`` leaves features out."""
+        odds = np.full(len(patterns), self.odds)
+        for f, ratio in enumerate(self.ratio):
+            if f not in without:
+                odds = odds * np.where(patterns[:, f] >= 0, ratio[np.maximum(patterns[:, f], 0)], 1.0)
+        return odds / (1 + odds)
+
+
+def counted_patterns(classed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Every pattern of classes with its pairs; the driver sees at most 9 x 10 x 5 x 7 rows."""
+    rows = classed.groupBy(*FEATURES).agg(F.count("*").alias("n")).collect()
+    return np.array([[r[f] for f in FEATURES] for r in rows], dtype=np.int64).reshape(-1, len(FEATURES)), np.array([r.n for r in rows], dtype=float)
+
+
+def with_confidence(pairs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``pairs`` with ``confidence``: the posterior of the mixture that is fitted to all of them."""
+    classed = checkpointed(with_classes(pairs, settings))
+    patterns, counts = counted_patterns(classed)
+    model = Mixture.fit(patterns, counts, settings)
+    odds = F.lit(float(model.odds))
+    for name, ratio in zip(FEATURES, model.ratio):
+        odds = odds * F.coalesce(F.get(F.array(*[F.lit(float(x)) for x in ratio]), F.col(name)), F.lit(1.0))
+    return classed.withColumn("_o", odds).withColumn("confidence", F.col("_o") / (1 + F.col("_o"))).drop("_o", *FEATURES)
+
+
+def calibration(pairs: DataFrame, settings: Settings = DEFAULT, parts: int = 10) -> DataFrame:
+    """``part, pairs, confidence, agreeing``: how the confidence without the names compares with whether the names agree.
+
+    The mixture is fitted to pairs of even targets and looked at on those of odd
+    ones whose names both say something; their names are withheld from the
+    confidence, so they are an attribute held out. ``agreeing`` is their share.
     """
-    kept = checkpointed(matched)
-    rows = kept.where("target_id is null").groupBy("bin").agg(F.sum("hits").alias("h"), F.sum("misses").alias("m")).collect()
-    hits, counts = np.zeros(settings.bins), np.zeros(settings.bins)
-    for r in rows:
-        hits[r.bin], counts[r.bin] = r.h, r.h + r.m
-    rates = np.clip(isotonic(hits, counts), 0.001, 0.999)
-    logit = F.element_at(F.array(*[F.lit(float(np.log(p / (1 - p)))) for p in rates]), F.col("bin") + 1)
-    near = 1 - F.least(F.col("offset") / settings.reach, F.lit(1.0))
-    evidence = 2.0 * F.coalesce(F.col("likeness"), F.lit(0.75)) + 2.0 * near + 1.0 * F.least("overlap", F.lit(1.0))
-    return kept.where("target_id is not null").select(
-        "target_id", "match_id", "cosine", "overlap", "offset", "likeness", (1 / (1 + F.exp(-(logit + evidence)))).alias("confidence")
-    )
+    classed = checkpointed(with_classes(pairs, settings).withColumn("_odd", F.pmod(F.xxhash64("target_id"), F.lit(2)) == 1))
+    model = Mixture.fit(*counted_patterns(classed.where("not _odd")), settings)
+    held = classed.where("_odd and name_class >= 0")
+    patterns, counts = counted_patterns(held)
+    agreeing = sum(b < settings.same_name + 1e-9 for b in LIKENESS)
+    confidence = model.posterior(patterns, without=[3])
+    part = np.minimum((confidence * parts).astype(int), parts - 1)
+    rows = []
+    for k in np.unique(part).tolist():
+        own = part == k
+        n = counts[own].sum()
+        rows.append((k, int(n), float((confidence[own] * counts[own]).sum() / n), float(counts[own & (patterns[:, 3] >= agreeing)].sum() / n)))
+    return pairs.sparkSession.createDataFrame(rows, "part int, pairs bigint, confidence double, agreeing double")
+
+
+def matched_sections(targets: DataFrame, matches: DataFrame, settings: Settings = DEFAULT, exhaustive: bool = False) -> DataFrame:
+    """The measured pairs that are likelier the same stretch of the same street than not, with their ``confidence``."""
+    return with_confidence(measured_pairs(targets, matches, settings, exhaustive), settings).where(F.col("confidence") >= settings.least_confidence)
 
 
 def end_key(geometry: Column) -> Column:

@@ -45,24 +45,29 @@ def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir).select("field", "term", "occurrences", "records", F.round("share", 6).alias("share"), "mark")
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sections(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     targets = entities.recorded_lengths(_table(spark, sf_dir, "target_features"), _table(spark, sf_dir, "edges"))
     matches = _table(spark, sf_dir, "match_features")
     sides = [
         df.select(F.col("id").alias("key"), F.col("geometry").alias("g"), "name", F.col(kind).alias("kind"), "length")
         for df, kind in ((targets, "highway"), (matches, "road_class"))
     ]
-    return entities.matched_sections(*sides)
+    return sides
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and match records of the same stretch of the same street."""
-    return _sections(spark, sf_dir).where("target_id is not null").select("target_id", "match_id")
+    return entities.matched_sections(*_sections(spark, sf_dir)).select("target_id", "match_id")
 
 
 def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs with their cosine and calibrated confidence."""
-    return entities.with_confidence(_sections(spark, sf_dir))
+    """The pairs with their cosines, exact measures and confidence."""
+    return entities.matched_sections(*_sections(spark, sf_dir))
+
+
+def p4_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the confidence without names compares with the names, which it hasn't seen."""
+    return entities.calibration(entities.measured_pairs(*_sections(spark, sf_dir)))
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,5 +105,5 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "language", *rounded, *scores, F.round("far_out", 3).alias("far_out"), F.array_join("tails", ",").alias("tails"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p4_found": p4_found, "p4_confidence": p4_confidence, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p4_found": p4_found, "p4_confidence": p4_confidence, "p4_calibration": p4_calibration, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL: dict[str, str] = {}
