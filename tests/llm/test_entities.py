@@ -50,10 +50,10 @@ def test_pairs(spark):
     a = spark.createDataFrame(targets + targets[:9] + extra, SIDE)
     b = spark.createDataFrame(matches + matches[:9] + extra, SIDE)
     every = {(r.target_id, r.match_id) for r in measured_pairs(a, b, exhaustive=True).collect()}
-    for settings in (DEFAULT, Settings(leaf_rows=30), Settings(leaf_rows=12)):
+    for settings, least in ((DEFAULT, 0.97), (Settings(leaf_rows=60), 0.9)):
         kept = matched_sections(a, b, settings).collect()
         got = [(r.target_id, r.match_id) for r in kept]
-        assert len(got) == len(set(got)) and len(set(got) & expected) >= 0.95 * len(expected) and len(set(got) - expected) <= 0.02 * len(expected)
+        assert len(got) == len(set(got)) and len(set(got) & expected) >= least * len(expected) and len(set(got) - expected) <= 0.02 * len(expected)
         assert set(got) <= every and all(settings.least_confidence <= r.confidence < 1 for r in kept)
     assert expected <= every
     assert matched_sections(a.limit(0), b).count() == 0 and matched_sections(a, b.limit(0)).count() == 0
@@ -65,16 +65,16 @@ def test_oversized_leaves_are_split_where_they_are_worked_on(spark):
     """One leaf for all, split in the task, loses nothing against the quadtree's own leaves."""
     from wayloom.llm import entities
 
-    targets, matches = _town(blocks=9)
+    targets, matches = _town(blocks=14)
     a, b = spark.createDataFrame(targets, SIDE), spark.createDataFrame(matches, SIDE)
     original = entities.learn_quadtree
     try:
         entities.learn_quadtree = lambda sides, total, leaf_rows, smallest: original(sides, total, 10**6, smallest)
-        split = {(r.target_id, r.match_id) for r in measured_pairs(a, b, Settings(leaf_rows=15)).collect()}
+        split = {(r.target_id, r.match_id) for r in measured_pairs(a, b, Settings(leaf_rows=60)).collect()}
     finally:
         entities.learn_quadtree = original
     every = {(r.target_id, r.match_id) for r in measured_pairs(a, b, exhaustive=True).collect()}
-    assert split <= every and len(split) >= 0.97 * len(every)
+    assert split <= every and len(split) >= 0.93 * len(every)
 
 
 def test_training_helps_blocking(spark):

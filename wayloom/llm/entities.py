@@ -50,12 +50,12 @@ class Settings:
 
     reach: float = 20.0  # farthest that two drawings of one street lie apart, in map units
     cell: float = 64.0  # side of the cells that places are told by; each is used on two shifted grids
-    dimensions: int = 40
-    walks: int = 16
+    dimensions: int = 32
+    walks: int = 12
     steps: int = 5
     window: int = 2
     negatives: int = 1
-    rate: float = 0.2
+    rate: float = 0.25
     tables: int = 32
     bits: int = 12
     overlap: float = 0.5  # of the shorter section
@@ -113,8 +113,8 @@ def token_vectors(record: np.ndarray, token: np.ndarray, weight: np.ndarray, n_r
     """Skip-gram vectors with negative sampling, trained on walks record - token - record - ..."""
     rng = np.random.default_rng(seed)
     d = s.dimensions
-    vectors = rng.standard_normal((n_tokens, d)) / np.sqrt(d)
-    context = np.zeros((n_tokens, d))
+    vectors = rng.standard_normal((n_tokens, d), dtype=np.float32) / np.float32(np.sqrt(d))
+    context = np.zeros((n_tokens, d), dtype=np.float32)
     if not s.trained:
         return vectors
 
@@ -145,19 +145,21 @@ def token_vectors(record: np.ndarray, token: np.ndarray, weight: np.ndarray, n_r
     order = rng.permutation(len(left))
     left, right = left[order], right[order]
 
+    rate = np.float32(s.rate)
+
     def scatter(into: np.ndarray, at: np.ndarray, change: np.ndarray) -> None:
         order = np.argsort(at, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
-        into[at[order][first]] -= s.rate * np.clip(np.add.reduceat(change[order], first), -4, 4)
+        into[at[order][first]] -= rate * np.clip(np.add.reduceat(change[order], first), -4, 4)
 
     for lo in range(0, len(left), 4096):
         a = left[lo : lo + 4096]
         b = np.concatenate([right[lo : lo + 4096][:, None], rng.integers(0, n_tokens, (len(a), s.negatives))], axis=1)
         va, ub = vectors[a], context[b]
-        pull = 1 / (1 + np.exp(-np.einsum("ij,ikj->ik", va, ub)))
+        pull = 1 / (1 + np.exp(-np.matmul(ub, va[:, :, None])[:, :, 0]))
         pull[:, 0] -= 1
         scatter(context, b.ravel(), (pull[:, :, None] * va[:, None, :]).reshape(-1, d))
-        scatter(vectors, a, np.einsum("ik,ikj->ij", pull, ub))
+        scatter(vectors, a, np.matmul(pull[:, None, :], ub)[:, 0, :])
     return vectors
 
 
