@@ -1,13 +1,16 @@
 """A mixture of sources in target shares of tokens.
 
-A classifier learned from all documents whose source is known (multinomial naive
-Bayes over hashed tokens) gives documents of unknown source a soft membership
-in each source. Projected-gradient least squares then finds how often each
-document is used, between 0 and what its source allows, so that the expected
-tokens of the sources match their targets. Documents of one known source share
-one rate, so they enter as sums; those of unknown source keep a rate each,
-which is a function of the gradients so far and is worked out where the document
-lies. Rates become whole numbers of copies by error diffusion.
+1. A classifier learned from all documents whose source is known (multinomial
+   naive Bayes over hashed tokens, its evidence weakened to the power that
+   foretells recorded sources best) gives every document a posterior over the
+   sources. A recorded source counts as evidence, by how far labels are trusted.
+2. Rates, how often each document is used, between 0 and what its source allows,
+   are found by projected-gradient least squares: the expected tokens of the
+   sources are brought to their targets. Of all rates that do, those nearest to
+   zero are chosen; they are the documents' posteriors times one price a source,
+   cut off at their bounds, so only the prices need be kept and every step is one
+   aggregate over all documents.
+3. Rates become whole numbers of copies by error diffusion.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.llm.packing import text_digest
@@ -27,13 +31,20 @@ from wayloom.session import checkpointed
 
 #: Buckets of hashed tokens: bounds the model at buckets x sources numbers.
 BUCKETS = 4096
-#: Sources that a target table may have; beyond that the model would outgrow a broadcast.
-MAX_SOURCES = 2000
+#: Numbers that the model may have (64 MB); with more than 4,096 sources the tokens are hashed into fewer buckets, down to LEAST_BUCKETS at 65,536 sources.
+MODEL_SIZE, LEAST_BUCKETS = 1 << 24, 256
+#: How often a recorded source is right.
+LABEL_TRUST = 0.999
+
+
+def buckets_for(sources: int) -> int:
+    """Buckets of hashed tokens for so many sources: the model always fits a broadcast."""
+    return min(BUCKETS, max(LEAST_BUCKETS, MODEL_SIZE // max(1, sources)))
 
 
 def _feature_batches(names: list[str], vocabulary: str):
-    """(doc_id, digest, source, tokens, bucket, count): documents, with buckets where the source is unknown; and each task's counts by source."""
-    known = set(names)
+    """(doc_id, digest, source, tokens, bucket, count) of each document, and each task's counts by source (tokens -1)."""
+    known, width = set(names), buckets_for(len(names))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -46,13 +57,13 @@ def _feature_batches(names: list[str], vocabulary: str):
             buckets, numbers, tokens = [], [], []
             for source, ids in zip(sources, encode(batch.column("text").to_pylist(), vocabulary)):
                 tokens.append(len(ids))
-                own = np.bincount(np.asarray(ids, dtype=np.int64) % BUCKETS, minlength=BUCKETS)
+                at, own = np.unique(np.asarray(ids, dtype=np.int64) % width, return_counts=True)
                 if source in known:
-                    counts[source] = counts.get(source, 0) + own
-                unknown = source is None or not source.strip()
-                at = np.flatnonzero(own) if unknown else []
-                buckets.append(list(at) if unknown else None)
-                numbers.append(own[at].tolist() if unknown else None)
+                    if source not in counts:
+                        counts[source] = np.zeros(width, dtype=np.int64)
+                    counts[source][at] += own
+                buckets.append(at.astype(np.int32))
+                numbers.append(own.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("digest"), pa.array([s if s and s.strip() else None for s in sources], pa.string()), pa.array(tokens, pa.int64()), pa.array(buckets, ints), pa.array(numbers, ints)],
                 names=columns,
@@ -69,95 +80,145 @@ def _feature_batches(names: list[str], vocabulary: str):
 def fit_classifier(features: DataFrame, names: list[str]) -> np.ndarray:
     """Log-odds, sources x (buckets + prior), of naive Bayes over all documents of known source.
 
-    The driver sees at most sources x buckets sums.
+    The driver sees at most sources x buckets sums, in Arrow: MODEL_SIZE numbers.
     """
-    rows = (
+    table = (
         features.where("tokens = -1").select("source", F.explode(F.arrays_zip("bucket", "count")).alias("e"))
-        .groupBy("source", "e.bucket").agg(F.sum("e.count").alias("n")).collect()
+        .groupBy("source", F.col("e.bucket").alias("bucket")).agg(F.sum("e.count").alias("n")).toArrow()
     )
     at = {name: k for k, name in enumerate(names)}
-    counts = np.full((len(names), BUCKETS), 0.5)
-    for r in rows:
-        counts[at[r.source], r.bucket] += r.n
-    documents = features.where("tokens >= 0 and source is not null").groupBy("source").count().collect()
+    counts = np.full((len(names), buckets_for(len(names))), 0.5, dtype=np.float32)
+    rows = np.array([at[x] for x in table.column("source").to_pylist()], dtype=np.int64)
+    counts[rows, table.column("bucket").to_numpy().astype(np.int64)] += table.column("n").to_numpy()
+    listed = F.broadcast(features.sparkSession.createDataFrame([(n,) for n in names], "source string"))
+    documents = features.where(F.col("tokens") >= 0).join(listed, "source", "left_semi").groupBy("source").count().collect()
     prior = np.full(len(names), 1e-6)
     for r in documents:
         if r.source in at:
             prior[at[r.source]] = r["count"]
-    return np.column_stack([np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(prior / prior.sum())])
+    return np.column_stack([np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(prior / prior.sum())]).astype(np.float32)
+
+
+#: Powers that the evidence of a text may be taken to; the one that foretells recorded sources best is used.
+POWERS = (0.0, 1 / 256, 1 / 128, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0)
+
+
+def _evidence(model: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return model[:, bucket] @ count.astype(np.float32)
 
 
-def posterior(model: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Soft membership of a document; its evidence counts with the root of its length, since its tokens aren't independent."""
-    total = max(1, int(count.sum()))
-    score = model[:, -1] + model[:, bucket] @ count / np.sqrt(total)
-    score = np.exp(score - score.max())
+def _normal(score: np.ndarray) -> np.ndarray:
+    score = np.exp((score - score.max()).astype(np.float64))
     return score / score.sum()
 
 
-def _evolve(p: np.ndarray, cap: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents after projected-gradient steps that all began at 0."""
-    rate = np.zeros(len(p))
-    for step in steps:
-        rate = np.clip(rate + p @ step, 0.0, cap)
-    return rate
+def posterior(model: np.ndarray, bucket: np.ndarray, count: np.ndarray, power: float = 1.0, label: int | None = None, trust: float = LABEL_TRUST) -> np.ndarray:
+    """Membership of a document in each source: the prior, the text's evidence to a power (its tokens aren't independent), and a recorded source as far as it is trusted."""
+    score = model[:, -1] + power * _evidence(model, bucket, count)
+    if label is not None and len(score) > 1:
+        score = score + np.log((1 - trust) / (len(score) - 1))
+        score[label] += np.log(trust) - np.log((1 - trust) / (len(score) - 1))
+    return _normal(score)
+
+
+def fit_power(features: DataFrame, model, names: list[str]) -> float:
+    """Which of POWERS gives recorded sources the greatest likelihood, over all documents that have one; each is left out of the counts it is judged by."""
+    number = {n: k for k, n in enumerate(names)}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss = np.zeros(len(POWERS))
+        table, total = np.exp(model.value[:, :-1].astype(np.float64)), model.value
+        for batch in batches:
+            for source, b, c in zip(batch.column("source").to_pylist(), batch.column("bucket").to_pylist(), batch.column("count").to_pylist()):
+                label = number[source]
+                at, own = np.array(b, dtype=np.int64), np.array(c)
+                evidence = _evidence(total, at, own).astype(np.float64)
+                # without the document's own counts its source foretells it less well
+                left = np.maximum(table[label, at] - own / model_tokens[label], 0.5 / model_tokens[label])
+                evidence[label] = np.log(left) @ own
+                for k, power in enumerate(POWERS):
+                    loss[k] -= np.log(max(_normal(total[:, -1] + power * evidence)[label], 1e-12))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(POWERS)), pa.int32()), pa.array(loss)], names=["k", "loss"])
+
+    model_tokens = model_sizes(features, names)
+    rows = features.where("tokens > 0").join(F.broadcast(features.sparkSession.createDataFrame([(n,) for n in names], "source string")), "source", "left_semi")
+    losses = {r.k: r.loss for r in rows.select("source", "bucket", "count").mapInArrow(add, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
+    return POWERS[min(losses, key=losses.get)] if losses else 1.0
+
 
+def model_sizes(features: DataFrame, names: list[str]) -> np.ndarray:
+    """The tokens counted for each source, with those imagined."""
+    counted = {r.source: float(r.n) for r in features.where("tokens = -1").select("source", F.aggregate("count", F.lit(0).cast("bigint"), lambda s, c: s + c).alias("n")).groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    return np.array([counted.get(n, 0.0) for n in names]) + 0.5 * buckets_for(len(names))
+
+
+def _membership(model, power: float, names: list[str], caps: np.ndarray, soft_cap: float, least: float = 1e-5):
+    """(doc_id, source, tokens, cap, at, p): each document's likeliest sources; what is below ``least`` is left out and the rest adds up to one."""
+    number = {n: k for k, n in enumerate(names)}
 
-def _membership(model, caps):
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = [posterior(model.value, np.array(b, dtype=np.int64), np.array(c, dtype=float)) if b else np.full(len(caps), 1 / len(caps)) for b, c in zip(batch.column("bucket").to_pylist(), batch.column("count").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tokens"), pa.array([x.tolist() for x in p], pa.list_(pa.float64()))], names=["doc_id", "tokens", "p"])
+            at, shares, cap = [], [], []
+            for source, b, c in zip(batch.column("source").to_pylist(), batch.column("bucket").to_pylist(), batch.column("count").to_pylist()):
+                label = number.get(source)
+                p = posterior(model.value, np.array(b, dtype=np.int64), np.array(c), power, label)
+                kept = np.flatnonzero(p >= min(least, p.max()))
+                at.append(kept.astype(np.int32))
+                shares.append(p[kept] / p[kept].sum())
+                cap.append(soft_cap if label is None else caps[label])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in ("doc_id", "source", "tokens")), pa.array(cap, pa.float64()), pa.array(at, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))],
+                names=["doc_id", "source", "tokens", "cap", "at", "p"],
+            )
 
     return member
 
 
-def _stack(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.asarray(batch.column("p").flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
+def _rates(batch: pa.RecordBatch, price: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rates, document of each membership, its source, its share)."""
+    at = batch.column("at")
+    n = pc.list_value_length(at).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = np.repeat(np.arange(len(n)), n)
+    source, share = at.flatten().to_numpy(zero_copy_only=False), batch.column("p").flatten().to_numpy(zero_copy_only=False)
+    rate = np.clip(np.bincount(own, share * price[source], len(n)), 0.0, batch.column("cap").to_numpy(zero_copy_only=False))
+    return rate, own, source, share
 
 
-def solve_rates(known: np.ndarray, caps: np.ndarray, share: np.ndarray, soft: DataFrame | None, soft_cap: float, total: float, rounds: int = 40, tolerance: float = 1e-4) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rates of known sources, and the steps that give those of soft members.
+def solve_prices(members: DataFrame, wanted: np.ndarray, most: np.ndarray, rounds: int = 60, tolerance: float = 1e-3) -> np.ndarray:
+    """The price of each source for which the expected tokens of all documents meet ``wanted``.
 
-    ``known`` has the tokens of each source. Least squares of
-    (expected tokens - share * total) / total over rates within their bounds, by
-    projected gradient with each coordinate scaled by its own curvature. A round
-    is one aggregate over the soft members.
+    Each round is one aggregate over the documents: the tokens that the rates
+    of these prices give each source, and those of documents whose rate may still
+    move. The gradient of the squares is divided by the latter, which bounds its
+    curvature; so no step goes too far, and few rounds are needed. Prices stay
+    within 0 and ``most``: a source whose own documents are all at their bound
+    isn't sought in others. It ends when no source is off by more than
+    ``tolerance`` of its target, or can get nearer.
     """
-    width = len(known)
-    rate, steps = np.zeros(width), []
-
-    def soft_tokens() -> np.ndarray:
-        if soft is None:
-            return np.zeros(width)
-        taken = list(steps)
+    width = len(wanted)
+    price = np.zeros(width)
+    for _ in range(rounds):
+        now = price.copy()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(width)
+            given, free = np.zeros(width), np.zeros(width)
             for batch in batches:
-                p, tokens = _stack(batch, width), batch.column("tokens").to_numpy().astype(float)
-                out += (_evolve(p, np.full(len(p), soft_cap), taken) * tokens) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(out)], names=["s", "t"])
-
-        got = np.zeros(width)
-        for r in soft.mapInArrow(add, "s int, t double").groupBy("s").agg(F.sum("t").alias("t")).collect():
-            got[r.s] = r.t
-        return got
-
-    softly = soft_tokens()
-    for _ in range(rounds):
-        missing = share * total - (rate * known + softly)
-        better = np.clip(rate + np.divide(missing, known, out=np.zeros(width), where=known > 0), 0.0, caps)
-        settled = np.abs(better - rate).max(initial=0.0) < tolerance and (soft is None or len(steps) > 3)
-        rate = better
-        if settled:
+                rate, own, source, share = _rates(batch, now)
+                tokens = batch.column("tokens").to_numpy().astype(float)
+                given += np.bincount(source, (rate * tokens)[own] * share, width)
+                moves = tokens * (rate < batch.column("cap").to_numpy(zero_copy_only=False))
+                free += np.bincount(source, moves[own] * share, width)
+            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(given), pa.array(free)], names=["s", "given", "free"])
+
+        given, free = np.zeros(width), np.zeros(width)
+        for r in members.mapInArrow(add, "s int, given double, free double").groupBy("s").agg(F.sum("given").alias("given"), F.sum("free").alias("free")).collect():
+            given[r.s], free[r.s] = r.given, r.free
+        missing = wanted - given
+        step = np.clip(price + np.divide(missing, free, out=np.zeros(width), where=free > 0), 0.0, most) - price
+        if (np.abs(missing) <= tolerance * np.maximum(wanted, 1.0)).all() or np.abs(step).max(initial=0.0) < 1e-6:
             break
-        if soft is not None:
-            steps.append(0.5 * (share * total - (rate * known + softly)) / np.maximum(share * total, 1.0) if steps else np.full(width, 0.5 * soft_cap))
-            softly = soft_tokens()
-    # what the last steps left to the soft members is settled by the known ones
-    rate = np.clip(np.divide(share * total - softly, known, out=np.zeros(width), where=known > 0), 0.0, caps)
-    return rate, steps
+        price = price + step
+    return price
 
 
 class Diffusion:
@@ -181,33 +242,37 @@ class Diffusion:
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, soft_cap: int = 1, vocabulary: str = VOCABULARY, keep_shares: bool = True) -> DataFrame:
-    """``doc_id, source, tokens, copies, p`` of each document that is used.
+    """``doc_id, source, tokens, copies, at, p`` of each document that is used.
 
     ``documents`` has ``doc_id, text, source``; ``targets`` has ``source,
-    target_share, max_repeats``, at most MAX_SOURCES of them. Shares of sources
-    that don't exist are spread over the others. ``total_tokens`` is the size
-    aimed at, by default the largest at which every existing source can keep its
-    share; without ``keep_shares`` all tokens of known sources, if that is more,
-    and a source that its cap keeps from its share falls short. A document of a null or blank source belongs softly to all sources
-    (``p``, in the order of their names; null for a known source) and is used at
-    most ``soft_cap`` times; a source without a target is not used. Rows
-    repeating a ``doc_id`` with the same text and source count once. Documents without tokens are not used,
-    and without targets nothing is.
+    target_share, max_repeats``. Shares of sources that don't exist are spread
+    over the others. ``total_tokens`` is the size aimed at, by default the
+    largest at which every existing source can keep its share; without
+    ``keep_shares`` all tokens of known sources, if that is more, and a source
+    that its cap keeps from its share falls short. Every document belongs to the
+    sources numbered ``at`` (from 0, in the order of their names) by shares ``p``;
+    one of a null or blank source is used at most ``soft_cap`` times; a source
+    without a target is not used. A ``doc_id`` counts once: of rows that repeat
+    it with different texts or sources the one of the least source, then digest,
+    is taken; rows of null id are told apart by their text. Documents without
+    tokens are not used, and without targets nothing is.
     """
-    listed = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(listed) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources have targets")
+    listed = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").limit(MODEL_SIZE // LEAST_BUCKETS + 1).collect()
+    if len(listed) > MODEL_SIZE // LEAST_BUCKETS:
+        raise ValueError(f"more than {MODEL_SIZE // LEAST_BUCKETS} sources have targets")
     names = [r.source for r in listed]
-    width = len(names)
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     if not names:
-        return spark.createDataFrame([], f"doc_id {kind}, source string, tokens bigint, copies int, p array<double>")
+        return spark.createDataFrame([], f"doc_id {kind}, source string, tokens bigint, copies int, at array<int>, p array<double>")
     schema = f"doc_id {kind}, digest binary, source string, tokens bigint, bucket array<int>, count array<int>"
-    features = checkpointed(documents.select("doc_id", "text", "source", text_digest().alias("digest")).mapInArrow(_feature_batches(names, vocabulary), schema))
-    rows = features.where("tokens > 0").groupBy("doc_id", "digest", "source", "tokens").agg(F.first("bucket").alias("bucket"), F.first("count").alias("count"))
-    known_docs = features.where("tokens > 0 and source is not null").select("doc_id", "digest", "source", "tokens").distinct().drop("digest")
-    sums = {r.source: float(r.t) for r in known_docs.groupBy("source").agg(F.sum("tokens").alias("t")).collect() if r.source in set(names)}
+    once = documents.select("doc_id", "text", "source", text_digest().alias("digest")).groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("digest")).alias("_d")).agg(
+        F.min_by(F.struct("text", "source", "digest"), F.struct(F.coalesce("source", F.lit("")), "digest")).alias("r")
+    ).select("doc_id", "r.*")
+    features = checkpointed(once.mapInArrow(_feature_batches(names, vocabulary), schema))
+    has_target = F.broadcast(spark.createDataFrame([(n, True) for n in names], "source string, _target boolean"))
+    rows = features.where("tokens > 0").join(has_target, "source", "left").where("source is null or _target").drop("_target")
+    sums = {r.source: float(r.t) for r in rows.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     known = np.array([sums.get(n, 0.0) for n in names])
     caps = np.array([float(r.cap) for r in listed])
     share = np.array([float(r.share) for r in listed]) * (known > 0)
@@ -216,28 +281,19 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     largest = min(able, default=0.0)
     total = float(total_tokens or (largest if keep_shares else max(largest, known.sum())))
     model = spark.sparkContext.broadcast(fit_classifier(features, names))
-    soft = checkpointed(
-        rows.where("source is null").select("doc_id", "tokens", "bucket", "count").mapInArrow(_membership(model, caps), f"doc_id {kind}, tokens bigint, p array<double>")
+    members = checkpointed(
+        rows.select("doc_id", "source", "tokens", "bucket", "count").mapInArrow(_membership(model, fit_power(features, model, names), names, caps, float(soft_cap)), f"doc_id {kind}, source string, tokens bigint, cap double, at array<int>, p array<double>")
     )
-    rate, steps = solve_rates(known, caps, share, soft, float(soft_cap), total)
-    rates = {n: (float(r), int(c)) for n, r, c in zip(names, rate, caps) if r > 0}
-
-    def copy_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        diffusion = Diffusion(TaskContext.get().partitionId())
-        for batch in batches:
-            got = [diffusion.copies(s, rates[s][0], t, rates[s][1]) if s in rates else 0 for s, t in zip(batch.column("source").to_pylist(), batch.column("tokens").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int32())], names=[*batch.schema.names, "copies"])
+    price = solve_prices(members, share * total, 1.1 * np.maximum(caps, soft_cap))
 
-    def copy_soft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         diffusion = Diffusion(TaskContext.get().partitionId())
         for batch in batches:
-            r = _evolve(_stack(batch, width), np.full(batch.num_rows, float(soft_cap)), steps)
-            got = [diffusion.copies(None, x, t, soft_cap) for x, t in zip(r.tolist(), batch.column("tokens").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int32())], names=[*batch.schema.names, "copies"])
+            rate, *_ = _rates(batch, price)
+            got = [diffusion.copies(s, r, t, int(c)) for s, r, t, c in zip(batch.column("source").to_pylist(), rate.tolist(), batch.column("tokens").to_pylist(), batch.column("cap").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "source", "tokens")), pa.array(got, pa.int32()), batch.column("at"), batch.column("p")], names=["doc_id", "source", "tokens", "copies", "at", "p"])
 
-    hard = known_docs.mapInArrow(copy_known, f"doc_id {kind}, source string, tokens bigint, copies int").withColumn("p", F.lit(None).cast("array<double>"))
-    softly = soft.mapInArrow(copy_soft, f"doc_id {kind}, tokens bigint, p array<double>, copies int").withColumn("source", F.lit(None).cast("string"))
-    return hard.unionByName(softly).where("copies > 0").select("doc_id", "source", "tokens", "copies", "p")
+    return members.mapInArrow(copy, f"doc_id {kind}, source string, tokens bigint, copies int, at array<int>, p array<double>").where("copies > 0")
 
 
 def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
@@ -245,13 +301,13 @@ def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``size`` is the tokens of the whole mixture, the same in each row.
     ``share`` counts documents by their recorded source; ``expected_share`` deals
-    those of unknown source out by their membership.
+    every document out by its membership.
     """
     used = mixture.withColumn("used", F.col("tokens") * F.col("copies"))
-    names = targets.where("source is not null").select("source").distinct().orderBy("source")
-    listed = F.array(*[F.lit(r.source) for r in names.limit(MAX_SOURCES).collect()])
+    names = targets.where("source is not null").select("source").distinct()
+    listed = names.select(F.col("source").alias("name"), (F.row_number().over(Window.orderBy("source")) - 1).alias("k"))
     by_source = used.groupBy("source").agg(F.count("*").alias("documents"), F.sum("used").alias("tokens"), F.max("copies").alias("most_copies"))
-    dealt = used.where("p is not null").select("used", F.posexplode("p").alias("k", "w")).groupBy(F.element_at(listed, F.col("k") + 1).alias("name")).agg(F.sum(F.col("used") * F.col("w")).alias("dealt"))
+    dealt = used.select("used", F.inline(F.arrays_zip(F.col("at").alias("k"), F.col("p").alias("w")))).groupBy("k").agg(F.sum(F.col("used") * F.col("w")).alias("dealt")).join(listed, "k").drop("k")
     wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"))
     total = by_source.agg(F.sum("tokens").alias("all"))
     rows = wanted.unionByName(
@@ -263,7 +319,7 @@ def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
         .select(
             "source", "target_share",
             F.round(F.coalesce("tokens", F.lit(0)) / F.col("all"), 6).alias("share"),
-            F.round((F.when(F.col("source").isNotNull(), F.coalesce("tokens", F.lit(0)) + F.coalesce("dealt", F.lit(0.0)))) / F.col("all"), 6).alias("expected_share"),
+            F.round(F.when(F.col("source").isNotNull(), F.coalesce("dealt", F.lit(0.0))) / F.col("all"), 6).alias("expected_share"),
             F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("all", F.lit(0)).alias("size"),
         )
     )
