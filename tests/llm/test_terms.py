@@ -1,7 +1,9 @@
 import random
 from collections import Counter
+from functools import partial
 
-from wayloom.llm.terms import BurstTrie, field_terms, mark_terms, term_frequencies
+from wayloom.llm import terms
+from wayloom.llm.terms import BurstTrie, field_terms, learn_routes, mark_terms, term_frequencies
 
 
 def test_trie_keeps_counts_through_bursts():
@@ -21,7 +23,7 @@ def test_like_counter(spark):
     words = ["w%d" % i for i in range(60)] + ["", "ü" * 4000]
     rows = [(r.choice("xy"), [r.choice(words) for _ in range(r.randint(1, 5))]) for _ in range(900)]
     df = spark.createDataFrame(rows + [("x", None), ("x", []), ("y", [None]), (None, ["a"])], "field string, terms array<string>").repartition(5)
-    merged, counted = term_frequencies(df)
+    merged, counted = term_frequencies(df, route_terms=r.choice([5, 20_000]))
     occurrences, records = Counter(), Counter()
     for f, own in rows:
         occurrences.update((f, w) for w in own)
@@ -30,6 +32,24 @@ def test_like_counter(spark):
     assert dict(map(tuple, counted.collect())) == Counter(f for f, _ in rows)
 
 
+def test_routes_are_adaptive_and_bounded(spark):
+    """Deep, crowded prefixes get routes of their own, and every route's share is bounded; the counts don't depend on it."""
+    r = random.Random(9)
+    rows = [("x", ["http://a.b/" + "".join(r.choice("abcd") for _ in range(6)) for _ in range(4)] + [r.choice("pqrst"), ""]) for _ in range(400)]
+    df = spark.createDataFrame(rows, "field string, terms array<string>").repartition(4)
+    clean = df.select("field", "terms")
+    subtrees = clean.mapInArrow(partial(terms._count_batches, burst=4), terms._SUBTREES)
+    routes = learn_routes(subtrees, 60)["x"]
+    assert "" in routes and any(p.startswith("http://a.b/a") for p in routes)
+    cut = subtrees.where("prefix is not null").mapInArrow(terms._cut_at_routes({"x": routes}), terms._ROUTED)
+    assert max(x["sum(n)"] for x in cut.selectExpr("route", "hand", "size(rests) n").groupBy("route", "hand").sum("n").collect()) <= 180
+    flat = terms.learn_routes(clean.mapInArrow(terms._count_batches, terms._SUBTREES), 60)["x"]
+    assert list(flat) == [""] and flat[""] > 5  # nothing has burst, so the one route is dealt out
+    expected = Counter(w for _, own in rows for w in own)
+    for size, burst in ((60, 4), (60, 512), (10**6, 4)):
+        assert {x.term: x.occurrences for x in term_frequencies(df, route_terms=size, burst=burst)[0].collect()} == expected
+
+
 def test_marks_and_repeated_rows(spark):
     rows = [(i, ["Road" if i < 30 else "'path'"], "a;B" if i == 0 else None, "extra") for i in range(33)]
     df = spark.createDataFrame(rows + rows[:20] + [(99, None, " ", "extra")], "ord bigint, highway array<string>, cycleway string, term string")

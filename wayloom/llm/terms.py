@@ -3,14 +3,19 @@
 Each task counts into burst tries: a container holds the rest of each term under
 a common prefix with its two counters, and bursts into one container per next
 letter when it has grown too large, so frequent prefixes get deep routes and
-rare ones stay shallow. Tasks hand over their containers as compact subtrees;
-these are routed by ranges of (field, term), that is by prefixes as long as the
-data needs, and matching subtrees are added up where they meet.
+rare ones stay shallow. Tasks hand over their containers as compact subtrees.
+
+Where these meet is learned from their own sizes: a route is a prefix below which
+about ROUTE_TERMS terms lie, longer where terms crowd. Subtrees are cut at the
+routes, sent by route, and all that share one are merged at once, in Arrow; a
+route's terms are all that a task holds.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +99,7 @@ _ARROW = pa.schema(
 )
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(batches: Iterator[pa.RecordBatch], burst: int = BURST) -> Iterator[pa.RecordBatch]:
     tries: dict[str, BurstTrie] = {}
     counted: dict[str, int] = {}
 
@@ -115,7 +120,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             record = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False).astype(np.int64)
             occurrences = np.bincount(code, minlength=len(words))
             records = np.bincount(np.unique(record * len(words) + code) % max(1, len(words)), minlength=len(words))
-            trie = tries.setdefault(field, BurstTrie())
+            trie = tries.setdefault(field, BurstTrie(burst))
             for word, o, r in zip(words, occurrences.tolist(), records.tolist()):
                 trie.add(word, o, r)
         if sum(t.size for t in tries.values()) > FLUSH:
@@ -123,7 +128,80 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield handed_over()
 
 
-def term_frequencies(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Terms, over all tasks, that a route should have; and routes that the driver may see. With more terms, routes grow instead.
+ROUTE_TERMS, MOST_ROUTES = 20_000, 100_000
+
+
+def learn_routes(subtrees: DataFrame, route_terms: int = ROUTE_TERMS) -> dict[str, dict[str, int]]:
+    """For each field, the prefixes where routes part, each with the number of hands that its terms are dealt out to.
+
+    A prefix is a route if more than ``route_terms`` terms of all subtrees lie
+    below it. Subtrees count by their whole prefix and every beginning of it, so
+    routes are as deep as the tasks' tries have burst. What a route has besides
+    longer ones, as where many tasks hand over small tries, is dealt out by a
+    hash of the terms if it is too much.
+    """
+    sized = subtrees.where("prefix is not null").select("field", "prefix", F.size("rests").alias("n"))
+    totals = sized.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.length("prefix") + 1)).alias("counted")).first()
+    least = max(route_terms, (totals["counted"] or 0) // MOST_ROUTES)  # so there are at most MOST_ROUTES
+    beginnings = F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda k: F.substring("prefix", F.lit(1), k))
+    rows = sized.select("field", F.explode(beginnings).alias("prefix"), "n").groupBy("field", "prefix").agg(F.sum("n").alias("n")).where((F.col("n") > least) | (F.col("prefix") == "")).collect()
+    out: dict[str, dict[str, int]] = {}
+    loads = {(r.field, r.prefix): r.n for r in rows}
+    own = dict(loads)
+    for field, prefix in loads:
+        above = next((prefix[:k] for k in range(len(prefix) - 1, -1, -1) if (field, prefix[:k]) in loads), None)
+        if above is not None:
+            own[field, above] -= loads[field, prefix]
+    for (field, prefix), n in own.items():
+        out.setdefault(field, {})[prefix] = max(1, -(-n // least))
+    return out
+
+
+_ROUTED = "field string, route string, hand int, prefix string, rests array<string>, occurrences array<bigint>, records array<bigint>"
+
+
+def _cut_at_routes(routes: dict[str, dict[str, int]]):
+    """Each subtree to its longest route and hand; a subtree above several is cut into the pieces that each of them is to have."""
+    deepest = {f: max(map(len, p)) for f, p in routes.items()}
+    above = {f: {p[:k] for p in own for k in range(len(p))} for f, own in routes.items()}
+
+    def route_of(field: str, term: str) -> tuple[str, int]:
+        known = routes.get(field, {})
+        for k in range(min(len(term), deepest.get(field, 0)), -1, -1):
+            if hands := known.get(term[:k]):
+                return term[:k], zlib.crc32(term.encode()) % hands if hands > 1 else 0
+        return "", 0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = ("rests", "occurrences", "records")
+        schema = pa.schema([("field", pa.string()), ("route", pa.string()), ("hand", pa.int32()), ("prefix", pa.string()), *[(n, _ARROW.field(n).type) for n in lists]])
+        for batch in batches:
+            out: list[tuple] = []
+            for field, prefix, *held in zip(*[batch.column(n).to_pylist() for n in ("field", "prefix", *lists)]):
+                pieces: dict[tuple[str, int], list[int]] = {}
+                if prefix in above.get(field, ()) or routes.get(field, {}).get(route_of(field, prefix)[0], 1) > 1:
+                    for k, rest in enumerate(held[0]):
+                        pieces.setdefault(route_of(field, prefix + rest), []).append(k)
+                    out += [(field, *route, prefix, *[[values[k] for k in own] for values in held]) for route, own in pieces.items()]
+                else:
+                    out.append((field, *route_of(field, prefix), prefix, *held))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return cut
+
+
+def _merge_subtrees(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One route's subtrees, of equal or different depth, as one: their terms with all counters added up."""
+    rests = table.column("rests").combine_chunks()
+    parent = pc.list_parent_indices(rests)
+    terms = pc.binary_join_element_wise(table.column("prefix").combine_chunks().take(parent), rests.flatten(), "")
+    counters = {n: table.column(n).combine_chunks().flatten() for n in ("occurrences", "records")}
+    merged = pa.table({"term": terms, **counters}).group_by("term").aggregate([("occurrences", "sum"), ("records", "sum")])
+    return pa.table({"field": pa.array([key[0].as_py()] * merged.num_rows, pa.string()), "term": merged.column("term"), "occurrences": merged.column("occurrences_sum"), "records": merged.column("records_sum")})
+
+
+def term_frequencies(terms: DataFrame, route_terms: int = ROUTE_TERMS, burst: int = BURST) -> tuple[DataFrame, DataFrame]:
     """Counts of ``terms`` (``field string, terms array<string>``, one row for each record and field).
 
     Gives (``field, term, occurrences, records``) and (``field, counted``), the
@@ -131,11 +209,11 @@ def term_frequencies(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     is no record.
     """
     clean = terms.select("field", F.filter("terms", lambda t: t.isNotNull()).alias("terms")).where(F.col("field").isNotNull() & (F.size("terms") > 0))
-    # the subtrees are read twice, by the sampling of the routes and by the merge, and are small against the records
-    subtrees = checkpointed(clean.mapInArrow(_count_batches, _SUBTREES))
-    entries = subtrees.where("prefix is not null").select("field", "prefix", F.inline(F.arrays_zip("rests", "occurrences", "records")))
-    routed = entries.select("field", F.concat("prefix", "rests").alias("term"), "occurrences", "records").repartitionByRange("field", "term")
-    merged = routed.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    # the subtrees are read twice, to learn the routes and to merge, and are small against the records
+    subtrees = checkpointed(clean.mapInArrow(partial(_count_batches, burst=burst), _SUBTREES))
+    routes = learn_routes(subtrees, route_terms)
+    cut = subtrees.where("prefix is not null").mapInArrow(_cut_at_routes(routes), _ROUTED)
+    merged = cut.groupBy("field", "route", "hand").applyInArrow(_merge_subtrees, "field string, term string, occurrences bigint, records bigint")
     return merged, subtrees.where("prefix is null").groupBy("field").agg(F.sum("counted").alias("counted"))
 
 
