@@ -31,12 +31,15 @@ def _lines(df: DataFrame) -> DataFrame:
 
 
 def _attach_fields(out: DataFrame, matches: DataFrame, fields: Sequence[str] | bool, suffix: str) -> DataFrame:
-    """Columns of the match feature, those of the same name suffixed."""
+    """Columns of the match feature, those of the same name suffixed; of repeated rows of one feature, the least values."""
     names = [c for c in matches.columns if c not in ("id", "geometry")] if fields is True else list(fields or [])
     if not names:
         return out
-    own = matches.select(F.col("id").alias("match_id"), *[F.col(n).alias(n + suffix if n in out.columns else n) for n in names])
-    return out.join(own, "match_id", "left")
+    one = F.struct(*[F.col(n).alias(n + suffix if n in out.columns else n) for n in names])
+    own = matches.where("id is not null").groupBy(F.col("id").alias("match_id")).agg(F.min(one).alias("_own")).select("match_id", "_own.*")
+    # stretches without a match need no partner, and their null keys would meet in one task
+    found = out.where("match_id is not null").join(own, "match_id", "left")
+    return found.unionByName(out.where("match_id is null"), allowMissingColumns=True)
 
 
 def match_by_midpoint(
@@ -298,11 +301,11 @@ def closest_targets(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     features with more than one target go through Python, each by itself: what
     meets there is bounded by the targets beside one feature.
     """
-    many = Window.partitionBy("match_id")
-    counted = pairs.withColumn("_n", F.when(F.col("match_id").isNotNull(), F.count("*").over(many)).otherwise(0))
+    counts = pairs.where("match_id is not null").groupBy("match_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    counted = pairs.where("match_id is not null").join(counts, "match_id", "left").select(*pairs.columns, F.coalesce("_n", F.lit(1)).alias("_n"))
     shared = counted.where("_n > 1").drop("_n").join(matches.select(F.col("id").alias("match_id"), F.col("geometry").alias("h")).dropDuplicates(["match_id"]), "match_id").select(*pairs.columns, "h")
     schema = ", ".join(f"{n} {k}" for n, k in pairs.dtypes)
-    return counted.where("_n < 2").drop("_n").unionByName(shared.groupBy("match_id").applyInPandas(_share_out, schema))
+    return pairs.where("match_id is null").unionByName(counted.where("_n < 2").drop("_n")).unionByName(shared.groupBy("match_id").applyInPandas(_share_out, schema))
 
 
 def match_by_hausdorff(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from wayloom.functions import line as L
 from wayloom.session import checkpointed
@@ -21,6 +24,39 @@ def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.unionByName(filled, allowMissingColumns=True)
 
 
+def ensure_length(edges: DataFrame, default: float | None = 0.0) -> DataFrame:
+    """``edges`` whose missing length is that of their geometry, and without one ``default``; recorded lengths stay, 0 too."""
+    drawn = F.when(F.size("geometry") > 0, L.length(F.col("geometry"))) if "geometry" in edges.columns else F.lit(None).cast("double")
+    known = F.col("length").cast("double") if "length" in edges.columns else F.lit(None).cast("double")
+    return edges.withColumn("length", F.coalesce(F.nanvl(known, F.lit(None).cast("double")), drawn, F.lit(default)))
+
+
+def set_turn_lengths(edges: DataFrame, right: float = 0.0, left: float = 0.0, straight: float = 0.0, u_turn: float = 0.0) -> DataFrame:
+    """``length`` of turns (rows with a ``turn_direction``) by their direction; others keep theirs."""
+    by = F.col("turn_direction")
+    cost = F.when(by == "right", right).when(by == "left", left).when(by == "straight", straight).when(by == "U", u_turn)
+    return edges.withColumn("length", F.coalesce(cost, F.col("length").cast("double")))
+
+
+def field_calculate(table: DataFrame, name: str, function: Column | Callable, kind: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """A new column of nodes or edges: an expression, or a Python function of a row's values (a dict), run in Arrow batches.
+
+    A Python function needs the new column's ``kind`` and sees ``columns``, by
+    default all; it gets ids like any other value. A column of that name is
+    replaced, as far as the function sees it from its old value.
+    """
+    if isinstance(function, Column):
+        return table.withColumn(name, function)
+    seen = list(columns or table.columns)
+    schema = _parse_datatype_string(kind)
+    made = to_arrow_type(schema)
+
+    def each(rows: pa.Array) -> pa.Array:
+        return pa.array([function(row) for row in rows.to_pylist()], made)
+
+    return table.withColumn(name, F.arrow_udf(each, schema)(F.struct(*seen)))
+
+
 def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select("u", "v", "key"), ["u", "v", "key"], "left_anti")
 

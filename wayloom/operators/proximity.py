@@ -420,7 +420,7 @@ def _matcher(tree_of, distance: float, schema: pa.Schema):
 
 
 def learn_quadtree(sides, total: int, leaf_rows: int, smallest: float, sample_rows: int | None = None, seed: int = 7):
-    """A function giving the broadcast quadtree, learned from a sample of ``sides``: (frame, point column).
+    """A function giving the broadcast quadtree, learned from a sample of ``sides``: (frame with ``key``, point column).
 
     ``total`` is the number of rows on all sides. The driver sees about
     ``sample_rows`` points, by default four a leaf but between LEAST_SAMPLE and
@@ -430,9 +430,12 @@ def learn_quadtree(sides, total: int, leaf_rows: int, smallest: float, sample_ro
     if sample_rows is None:
         sample_rows = min(MOST_SAMPLE, max(LEAST_SAMPLE, 4 * total // leaf_rows))
     share = min(1.0, sample_rows / max(1, total))
-    rows = [r for df, point in sides for r in df.select(point.alias("p")).sample(share, seed).select("p.x", "p.y").collect()]
-    points = np.array([(r.x, r.y) for r in rows if r.x is not None and r.y is not None], dtype=float).reshape(-1, 2)
+    # by a hash of the records, so that neither files nor partitions make a difference to the tree
+    chosen = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    parts = [df.select("key", point.alias("p")).where(chosen if share < 1 else F.lit(True)).select(F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y")).toArrow() for df, point in sides]
+    points = np.concatenate([np.column_stack([t.column(n).to_numpy().astype(float) for n in ("x", "y")]).reshape(-1, 2) for t in parts])
     points = points[np.isfinite(points).all(axis=1)]
+    points = points[np.lexsort(points.T)]
     tree = QuadTree.build(points, max(1.0, leaf_rows * share), smallest)
     shared = sides[0][0].sparkSession.sparkContext.broadcast(tree)
     return lambda: shared.value

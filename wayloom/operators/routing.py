@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.session import checkpointed
 
-#: Edges up to which every worker holds the whole network; beyond that paths spread over tables.
-MAX_BROADCAST_EDGES = 2_000_000
+#: Bytes up to which every worker holds the whole network (two numbers and a cost an edge, and each node's name); beyond that paths spread over tables.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def _network(edges: DataFrame, cost: str) -> DataFrame:
@@ -21,18 +22,28 @@ def _network(edges: DataFrame, cost: str) -> DataFrame:
 
 
 class _Graph:
-    """Adjacency in arrays, with the names of nodes in order, so that ties go to the lesser name."""
-
-    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        self.names, codes = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b = codes[: len(u)], codes[len(u) :]
-        order = np.lexsort((b, a))
-        self.to, self.w = b[order], w[order]
-        self.start = np.searchsorted(a[order], np.arange(len(self.names) + 1))
+    """Adjacency in arrays over numbered nodes, whose numbers follow their names, so that ties go to the lesser name."""
+
+    def __init__(self, names: pa.Array, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+        self.names = names
+        self.numbers = {n: k for k, n in enumerate(names.to_pylist())}
+        order = np.lexsort((v, u))
+        self.to, self.w = v[order], w[order]
+        self.start = np.searchsorted(u[order], np.arange(len(names) + 1))
+
+    @staticmethod
+    def packed(net: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(names in order, from, to, cost) of a table ``u, v, w``."""
+        both = pa.concat_arrays([net.column(n).combine_chunks() for n in ("u", "v")])
+        coded = both.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        code = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        return coded.dictionary.take(pa.array(order)), code[: net.num_rows], code[net.num_rows :], net.column("w").to_numpy()
 
     def number(self, name: str) -> int | None:
-        k = int(np.searchsorted(self.names, name))
-        return k if k < len(self.names) and self.names[k] == name else None
+        return self.numbers.get(name)
 
     def paths(self, origin: int, wanted: set[int]) -> dict[int, tuple[float, list[int]]]:
         """Cost and nodes to each wanted node that can be reached."""
@@ -59,21 +70,23 @@ class _Graph:
         return out
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, cost: str = "length", max_broadcast: int = MAX_BROADCAST_EDGES) -> DataFrame:
+def shortest_paths(pairs: DataFrame, edges: DataFrame, cost: str = "length", max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``origin, destination, cost, route`` (the nodes as array<string>) of each distinct pair; both null where there is no way.
 
     A pair of equal nodes costs 0. Edges without cost or with a negative one
     aren't used; of parallel ones the cheapest is. Of equally cheap routes the
-    one of fewest nodes is chosen, then from its end the lesser names. Up to ``max_broadcast`` edges, counted
-    first, every worker holds the network and searches from each of its origins
+    one of fewest nodes is chosen, then from its end the lesser names. Up to ``max_broadcast`` bytes, added
+    up first, every worker holds the network and searches from each of its origins
     once; beyond, costs spread round by round over tables, with the same result.
     """
     wanted = pairs.select(F.col("origin").cast("string").alias("origin"), F.col("destination").cast("string").alias("destination")).where("origin is not null and destination is not null").distinct()
     net = _network(edges, cost)
-    if net.limit(max_broadcast + 1).count() > max_broadcast:
+    net = checkpointed(net)
+    # at most the names of both ends of every edge, for names are held once a node
+    size = net.agg(F.sum(F.octet_length("u") + F.octet_length("v") + 24).alias("n")).first()["n"] or 0
+    if size > max_broadcast:
         return _spread_paths(wanted, net)
-    rows = net.toPandas()
-    shared = pairs.sparkSession.sparkContext.broadcast((rows.u.to_numpy(dtype=str), rows.v.to_numpy(dtype=str), rows.w.to_numpy(dtype=float)))
+    shared = pairs.sparkSession.sparkContext.broadcast(_Graph.packed(net.toArrow()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = None
@@ -92,7 +105,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, cost: str = "length", max
                         out.append((o, d, 0.0, [o]))
                     elif codes[d] in found and codes[d] is not None:
                         c, route = found[codes[d]]
-                        out.append((o, d, c, graph.names[route].tolist()))
+                        out.append((o, d, c, graph.names.take(pa.array(route)).to_pylist()))
                     else:
                         out.append((o, d, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.string(), pa.float64(), pa.list_(pa.string())))] if out else [pa.array([], t) for t in (pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()))], names=["origin", "destination", "cost", "route"])
@@ -100,9 +113,13 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, cost: str = "length", max
     return wanted.repartition("origin").mapInArrow(search, "origin string, destination string, cost double, route array<string>")
 
 
-def path_costs(sources: DataFrame, net: DataFrame) -> DataFrame:
+def path_costs(sources: DataFrame, net: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """``source, node, cost, before`` of every node that each source reaches, over tables.
 
+    With ``wanted`` (``source, node``) a source's costs spread no farther than
+    the farthest of its wanted nodes as known so far, once all of them are known;
+    what lies beyond can't be on the way to any.
+
     Costs spread from the nodes that improved in the last round, all sources at
     once; every round is one join and one aggregate, written to the checkpoint
     folder. Then nodes are reached anew, by the edges that keep to these costs
@@ -117,6 +134,9 @@ def path_costs(sources: DataFrame, net: DataFrame) -> DataFrame:
         better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o") < F.col("cost")))
         frontier = joined.where(better).select("source", "node", F.col("o").alias("cost"))
         best = joined.select("source", "node", F.when(better, F.col("o")).otherwise(F.col("cost")).alias("cost"))
+        if wanted is not None:
+            reached = wanted.join(best, ["source", "node"], "left").groupBy("source").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("far"))
+            frontier = checkpointed(frontier.join(reached, "source").where(F.col("cost") <= F.col("far")).drop("far"))
         if frontier.isEmpty():
             break
     ends = best.select("source", F.col("node").alias("v"), F.col("cost").alias("_c"))
@@ -133,8 +153,8 @@ def path_costs(sources: DataFrame, net: DataFrame) -> DataFrame:
 
 
 def _spread_paths(wanted: DataFrame, net: DataFrame) -> DataFrame:
-    net = checkpointed(net)
-    tree = checkpointed(path_costs(wanted.select(F.col("origin").alias("source")).distinct(), net))
+    targets = checkpointed(wanted.select(F.col("origin").alias("source"), F.col("destination").alias("node")))
+    tree = checkpointed(path_costs(targets.select("source").distinct(), net, targets))
     route = checkpointed(wanted.join(tree.select(F.col("source").alias("origin"), F.col("node").alias("destination"), "cost", "before"), ["origin", "destination"], "left").withColumn("route", F.when(F.col("cost").isNotNull(), F.array("destination"))).withColumn("at", F.col("before")))
     while not route.where("at is not null").isEmpty():
         step = tree.select(F.col("source").alias("origin"), F.col("node").alias("at"), F.col("before").alias("next"))

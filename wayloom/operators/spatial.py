@@ -3,15 +3,20 @@
 Each side is dealt out over the cells its box touches and joined on the cell; a
 pair counts in the cell that owns the lower left corner of what both boxes
 share, so it comes out once without another shuffle. Cells should be about as
-wide as typical shapes plus the distance; Spark's skew handling splits hot ones.
+wide as typical shapes plus the distance; crowded ones are counted beforehand and
+dealt out over several tasks, on both sides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wayloom.functions import line as L
 from wayloom.functions import polygon as P
@@ -21,7 +26,37 @@ from wayloom.operators.staged import staged
 from wayloom.session import checkpointed
 
 
-def grid_join(left: DataFrame, right: DataFrame, left_box: Column, right_box: Column, cell: float) -> DataFrame:
+#: Rows of a side in a cell beyond which the cell is dealt out, and cells that may be; a cell that isn't among the most crowded has at most a 1 / HOT_CELLS share of the rows.
+HOT_ROWS, HOT_CELLS = 5_000, 100_000
+
+
+def cell_join(left: DataFrame, right: DataFrame, cell: Sequence[str] = ("cx", "cy"), hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``left`` and ``right`` joined on their cell, crowded cells in hands.
+
+    Both sides are counted by cell, map-side first. A side with n times
+    ``hot_rows`` rows in a cell is dealt out over n hands by a hash of the row, and
+    the other side goes to each hand: every pair meets once, in groups of about
+    ``hot_rows`` on either side. The hot cells are broadcast, at most HOT_CELLS of
+    them, the most crowded; that needs no step of its own while the plan is made.
+    """
+    keys = list(cell)
+    both = left.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    counts = both.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    hands = lambda n: F.ceil(F.col(n) / hot_rows).cast("int")
+    hot = counts.where((F.greatest("l", "r") > hot_rows) & (F.least("l", "r") > 0)).orderBy(F.greatest("l", "r").desc()).limit(HOT_CELLS)
+    hot = F.broadcast(hot.select(*keys, F.greatest(hands("l"), F.lit(1)).alias("_lh"), F.greatest(hands("r"), F.lit(1)).alias("_rh")))
+
+    def dealt(df: DataFrame, mine: str, theirs: str) -> DataFrame:
+        marked = df.join(hot, keys, "left")
+        own = F.when(F.col(mine) > 1, F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.col(mine)).cast("int")).otherwise(0)
+        every = F.when(F.col(theirs) > 1, F.sequence(F.lit(0), F.col(theirs) - 1)).otherwise(F.array(F.lit(0)))
+        return marked.withColumns({f"{mine}_": own, f"{theirs}_": F.explode(every)}).drop("_lh", "_rh")
+
+    a, b = dealt(left, "_lh", "_rh"), dealt(right, "_rh", "_lh")
+    return a.join(b, [*keys, "_lh_", "_rh_"]).drop("_lh_", "_rh_")
+
+
+def grid_join(left: DataFrame, right: DataFrame, left_box: Column, right_box: Column, cell: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``left`` and ``right`` (as structs ``a`` and ``b``) of every pair whose boxes meet, each once.
 
     Boxes are (minx, miny, maxx, maxy); rows without one meet nothing.
@@ -32,7 +67,7 @@ def grid_join(left: DataFrame, right: DataFrame, left_box: Column, right_box: Co
         steps = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
         return boxed.withColumn("cx", F.explode(steps(b["minx"], b["maxx"]))).withColumn("cy", F.explode(steps(b["miny"], b["maxy"])))
 
-    pairs = dealt(left, left_box, "a").join(dealt(right, right_box, "b"), ["cx", "cy"])
+    pairs = cell_join(dealt(left, left_box, "a"), dealt(right, right_box, "b"), hot_rows=hot_rows)
     a, b = F.col("a_box"), F.col("b_box")
     meet = (a["minx"] <= b["maxx"]) & (a["maxx"] >= b["minx"]) & (a["miny"] <= b["maxy"]) & (a["maxy"] >= b["miny"])
     own = (F.floor(F.greatest(a["minx"], b["minx"]) / cell) == F.col("cx")) & (F.floor(F.greatest(a["miny"], b["miny"]) / cell) == F.col("cy"))
@@ -76,10 +111,31 @@ def count_points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float
 
 
 def within_polygon(df: DataFrame, polygon: DataFrame, p: Column) -> DataFrame:
-    """Rows whose point lies in a one-row frame's area (``geometry``): a filter against one broadcast shape."""
-    area = F.broadcast(polygon.limit(1).select(F.col("geometry").alias("_area"), P.bounds(F.get("geometry", F.lit(0))).alias("_b")))
+    """Rows whose point lies in any area (``geometry``) of a frame: one area or a few, broadcast, each with its box first.
+
+    Many areas belong into ``points_in_polygons``, which deals both sides out over cells.
+    """
+    area = F.broadcast(polygon.where("geometry is not null").select(F.col("geometry").alias("_area"), P.bounds(F.get("geometry", F.lit(0))).alias("_b")))
     boxed = p["x"].between(F.col("_b.minx"), F.col("_b.maxx")) & p["y"].between(F.col("_b.miny"), F.col("_b.maxy"))
-    return df.join(area).where(boxed & P.contains(F.col("_area"), p)).drop("_area", "_b")
+    return df.join(area, boxed & P.contains(F.col("_area"), p), "left_semi")
+
+
+def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """Lines (``id, geometry``) that lie in or cross any area (``id, geometry``), each once."""
+    pairs = _line_area_pairs(lines, polygons, cell)
+    g, area = F.col("a.geometry"), F.col("b.geometry")
+    met = pairs.where(F.when(P.contains(area, L.first(g)), True).otherwise(F.size(P.cut_places(g, area)) > 0))
+    return lines.join(met.select(F.col("a.id").alias("id")).distinct(), "id", "left_semi")
+
+
+def areas_meeting_polygons(areas: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """Areas (``id, geometry``) that share a point with any area of ``polygons``, each once: a boundary crosses the other's, or one lies in the other."""
+    shell = lambda c: F.get(F.col(f"{c}.geometry"), F.lit(0))
+    pairs = grid_join(areas.select("id", "geometry"), polygons.select("id", "geometry"), box_of(F.get("geometry", F.lit(0))), box_of(F.get("geometry", F.lit(0))), cell)
+    inside = P.contains(F.col("b.geometry"), F.get(shell("a"), F.lit(0))) | P.contains(F.col("a.geometry"), F.get(shell("b"), F.lit(0)))
+    crosses = F.exists(F.col("a.geometry"), lambda ring: F.size(P.cut_places(P.closed(ring), F.col("b.geometry"))) > 0)
+    met = pairs.where(F.when(inside, True).otherwise(crosses))
+    return areas.join(met.select(F.col("a.id").alias("id")).distinct(), "id", "left_semi")
 
 
 def _line_area_pairs(lines: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
@@ -114,31 +170,61 @@ def points_within(a: DataFrame, b: DataFrame, distance: float) -> DataFrame:
     around = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     right = b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(around).alias("c")).select("b_id", "bx", "by", "c.*")
     d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    return left.join(right, ["cx", "cy"]).select("a_id", "b_id", d.alias("distance")).where(F.col("distance") <= distance)
+    return cell_join(left, right).select("a_id", "b_id", d.alias("distance")).where(F.col("distance") <= distance)
+
+
+#: Waiting points up to which all of them are held against all of ``b`` in blocks.
+FEW_WAITING = 2_000
+
+
+def _nearest_in_blocks(waiting: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of ``b`` for a few points, held by every worker: each block of ``b`` gives its own best, which are merged."""
+    at = waiting.toPandas()
+    xy, ids = at[["x", "y"]].to_numpy(dtype=float), pa.array(at["id"], to_arrow_type(waiting.schema["id"].dataType))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            order = pc.sort_indices(batch.column("id")).to_numpy()  # so that of equal distances the lower id comes first
+            for lo in range(0, len(xy), 200):
+                q = xy[lo : lo + 200]
+                far = np.sqrt((q[:, :1] - x[order]) ** 2 + (q[:, 1:] - y[order]) ** 2)
+                best = np.argsort(far, axis=1, kind="stable")[:, :k]
+                row = np.repeat(np.arange(lo, lo + len(q)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), batch.column("id").take(pa.array(order[best.ravel()])), pa.array(np.take_along_axis(far, best, axis=1).ravel())], names=["a_id", "b_id", "distance"])
+
+    kinds = [f.schema["id"].dataType.simpleString() for f in (waiting, b)]
+    return b.select("id", F.col("x").cast("double"), F.col("y").cast("double")).mapInArrow(near, f"a_id {kinds[0]}, b_id {kinds[1]}, distance double")
 
 
-def nearest_points(a: DataFrame, b: DataFrame, k: int, start: float, rounds: int = 24) -> DataFrame:
+def nearest_points(a: DataFrame, b: DataFrame, k: int, start: float, few: int = FEW_WAITING) -> DataFrame:
     """``a_id, b_id, distance, rank`` of the ``k`` nearest points of ``b``, of equal ones the lower id.
 
     The search begins within ``start`` and doubles for those that have found
-    fewer than ``k``, so most points see one round; where ``b`` has fewer than
-    ``k`` points, all are given. Rows of ``b`` without coordinates aren't found.
+    fewer than ``k``, so most points see one round. Once at most ``few`` wait,
+    they are held against all of ``b`` in blocks, however far that is; so nobody
+    is left out, and late rounds don't join widening circles. Where ``b`` has
+    fewer than ``k`` points, all are given. Rows without id or coordinates neither
+    search nor are found.
     """
     b = checkpointed(b.select("id", "x", "y").where("id is not null and x is not null and y is not null"))
     k = min(k, b.count())
-    waiting = a.select("id", "x", "y").where("id is not null and x is not null and y is not null")
-    out, radius = None, start
-    for _ in range(rounds):
-        if k == 0:
-            break
-        found = points_within(waiting, b, radius).withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy("distance", "b_id"))).where(F.col("rank") <= k)
+    waiting = a.select("id", "x", "y").where("id is not null and x is not null and y is not null").dropDuplicates(["id"])
+    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy("distance", "b_id"))).where(F.col("rank") <= k)
+    kinds = [f.schema["id"].dataType.simpleString() for f in (a, b)]
+    out = a.sparkSession.createDataFrame([], f"a_id {kinds[0]}, b_id {kinds[1]}, distance double, rank int")
+    if k == 0:
+        return out
+    waiting, radius = checkpointed(waiting), start
+    while (left := waiting.count()) > 0:
+        if left <= few:
+            return out.unionByName(ranked(_nearest_in_blocks(waiting, b, k)))
+        found = ranked(points_within(waiting, b, radius))
         full = checkpointed(found.withColumn("_n", F.count("*").over(Window.partitionBy("a_id"))).where(F.col("_n") == k).drop("_n"))
-        out = full if out is None else out.unionByName(full)
+        out = out.unionByName(full)
         waiting = checkpointed(waiting.join(full.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti"))
-        if waiting.isEmpty():
-            break
         radius *= 2
-    return out if out is not None else a.sparkSession.createDataFrame([], "a_id bigint, b_id bigint, distance double, rank int")
+    return out
 
 
 def attach_nearest_attributes(nodes: DataFrame, points: DataFrame, distance: float, columns: Sequence[str]) -> DataFrame:

@@ -49,6 +49,13 @@ def build_turns(edges: DataFrame, order: str = "ord", level: str | None = None,
     return turns.withColumn("turn_across", ~near_right & ~((F.col("turn_direction") == "straight") & ~any_right))
 
 
+def between_exits(turns: DataFrame) -> DataFrame:
+    """``turn_u, turn_v, osmid`` between any two different exits of a node, so that no exit is a dead end for whoever starts there."""
+    exits = turns.select("osmid", "turn_v").distinct()
+    other = exits.select("osmid", F.col("turn_v").alias("_to"))
+    return exits.join(other, "osmid").where(F.col("turn_v") != F.col("_to")).select(F.col("turn_v").alias("turn_u"), F.col("_to").alias("turn_v"), "osmid")
+
+
 def attach_edge_attributes(turns: DataFrame, edges: DataFrame, attributes: Sequence[str] = (), level: str | None = None) -> DataFrame:
     """Attributes of the edge in (``_in``) and the edge out (``_out``) of each turn.
 

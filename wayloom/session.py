@@ -19,6 +19,7 @@ def local_session(cpus: int | str = 8, app: str = "wayloom", **conf: str) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of every column cost more than planning
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # else written stages stay until someone removes them
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
