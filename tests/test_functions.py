@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wayloom.functions import line as L
-from wayloom.functions import lists, names, polygon, shapes, tags
+from wayloom.functions import lists, names, polygon, regions, shapes, tags
 from wayloom.functions import scalar as S
 
 LINE = "array<struct<x:double,y:double>>"
@@ -98,7 +98,7 @@ def test_shapes(spark):
     assert [None if r[0] is None else [len(x) for x in r[0]] for r in many.select(shapes.merge_multiline(F.col("l"))).collect()] == [[4], [], None]
     axes = one(spark, f"g {LINE}", ([(0.0, 0.0), (8.0, 0.0), (8.0, 2.0), (0.0, 2.0)],), shapes.major_minor_axes(F.col("g")))[0]
     assert abs(axes.major[0].y - 1) < 1e-9 and abs(axes.minor[0].x - 4) < 1e-9
-    ring = one(spark, f"g {LINE}", ([(0.0, 0.0), (8.0, 0.0)],), shapes.buffer_line(F.col("g"), 1.0))[0][0]
+    ring = one(spark, f"g {LINE}", ([(0.0, 0.0), (8.0, 0.0)],), regions.buffer_line(F.col("g"), 1.0))[0][0]
     assert abs(shapes.ring_area(np.array([(p.x, p.y) for p in ring])) - (16 + math.pi)) < 0.05
 
 

@@ -22,6 +22,8 @@ UNITS: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("in", "length", "254/10000", ("in", "in.", "inch", "inches", '"', "″", "”", "''", "′′")),
     ("yd", "length", "9144/10000", ("yd", "yd.", "yds", "yard", "yards")),
     ("mi", "length", "1609344/1000", ("mi", "mi.", "mile", "miles")),
+    ("dm", "length", "1/10", ("dm", "dm.", "decimetre", "decimetres", "decimeter", "decimeters")),
+    ("nmi", "length", "1852", ("nmi", "nmi.", "naut mi", "nautical mile", "nautical miles")),
     ("km/h", "speed", "1000/3600", ("km/h", "kmh", "km/hr", "kph", "k.p.h.", "kmph", "kilometres per hour", "kilometers per hour", "kilometre per hour", "km per hour")),
     ("mph", "speed", "1609344/3600000", ("mph", "m.p.h.", "mi/h", "mi/hr", "miles/hour", "miles per hour", "mile per hour")),
     ("m/s", "speed", "1", ("m/s", "m/sec", "mps", "metres per second", "meters per second", "metre per second")),
@@ -30,6 +32,11 @@ UNITS: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("kg", "weight", "1", ("kg", "kg.", "kgs", "kilo", "kilos", "kilogram", "kilograms", "kilogramme", "kilogrammes")),
     ("t", "weight", "1000", ("t", "t.", "tonne", "tonnes", "metric ton", "metric tons")),
     ("lb", "weight", "45359237/100000000", ("lb", "lb.", "lbs", "lbs.", "pound", "pounds")),
+    ("g", "weight", "1/1000", ("g", "g.", "gr", "gram", "grams", "gramme", "grammes")),
+    ("oz", "weight", "45359237/1600000000", ("oz", "oz.", "ounce", "ounces")),
+    ("lt", "weight", "2240*45359237/100000000", ("long ton", "long tons", "uk ton", "uk tons", "imperial ton", "imperial tons")),
+    ("cwt", "weight", "112*45359237/100000000", ("cwt", "cwt.", "hundredweight", "hundredweights", "long hundredweight", "long hundredweights")),
+    ("us cwt", "weight", "100*45359237/100000000", ("us cwt", "short hundredweight", "short hundredweights")),
     ("st", "weight", "2000*45359237/100000000", ("short ton", "short tons", "us ton", "us tons", "ton (us)", "tons (us)", "st")),
 )
 # The size of each common unit in the base unit of its quantity.
@@ -227,6 +234,6 @@ class QuantityReader:
 
     @staticmethod
     def _compound(pairs: list[tuple[Fraction, str]]) -> bool:
-        order = {"km": 0, "mi": 0, "yd": 1, "m": 2, "ft": 2, "cm": 3, "in": 3, "mm": 4, "t": 0, "st": 0, "kg": 1, "lb": 1}
+        order = {"km": 0, "mi": 0, "yd": 1, "m": 2, "ft": 2, "dm": 3, "cm": 4, "in": 4, "mm": 5, "t": 0, "st": 0, "lt": 0, "cwt": 1, "us cwt": 1, "kg": 2, "lb": 2, "g": 3, "oz": 3}
         ranks = [order.get(u, 9) for _, u in pairs]
         return all(a < b for a, b in zip(ranks, ranks[1:])) and 9 not in ranks

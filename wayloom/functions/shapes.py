@@ -236,19 +236,3 @@ def shared_area(a, b) -> float:
 def overlap_area(a: Column, b: Column) -> Column:
     """``shared_area`` of two columns of areas."""
     return _arrow(shared_area, "double", a, b)
-
-
-def buffer_line(line: Column, distance: float, corners: int = 16) -> Column:
-    """A round-capped outline around a line's hull of discs: exact for straight lines, the convex
-    cover of bent ones. For 'within a distance' use a distance predicate instead."""
-    t = np.linspace(0, 2 * np.pi, 4 * corners, endpoint=False)
-    disc = np.column_stack([np.cos(t), np.sin(t)]) * distance
-
-    def outline(g):
-        xy = _xy(g)
-        if len(xy) == 0:
-            return None
-        ring = hull((xy[:, None, :] + disc[None, :, :]).reshape(-1, 2))
-        return [_points(np.vstack([ring, ring[:1]]))]
-
-    return _arrow(outline, f"array<{LINE}>", line)

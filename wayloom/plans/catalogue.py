@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.plans import conflate, lines, more, network, problems, scalars, spatial, tags
+from wayloom.plans import conflate, lines, more, network, problems, rest, scalars, spatial, tags
 
-MODULES = [conflate, spatial, scalars, lines, tags, network, more, problems]
+MODULES = [conflate, spatial, scalars, lines, tags, network, more, rest, problems]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -91,11 +91,12 @@ SQL["examine_tags"] = f"WITH {SQL_TAGS} SELECT element_type AS type, key, value,
 
 _INIT = "list_aggregate(list_transform(string_split(lower({0}),' '), lambda w: upper(w[1:1]) || w[2:]),'string_agg',' ')"
 _DIR = "MAP {" + ",".join(f"'{k}':'{v}'" for k, v in (names.DIRECTIONS | {v: v for v in names.DIRECTIONS.values()}).items()) + "}"
-_TYP = "MAP {" + ",".join(f"'{k}':'{v}'" for k, v in (names.TYPES | {v: v for v in names.TYPE_SPELLINGS}).items()) + "}"
+_TYP = "MAP {" + ",".join(f"'{k}':'{v}'" for k, v in (names.TYPES | {v: v for v in names.TYPES.values()}).items()) + "}"
 QUERIES["street_type_std"] = lambda spark, sf_dir: table(spark, sf_dir, "match_features").select("id", names.standardize_streetname(c("name")).alias("standard")).where("standard is not null")
 SQL["street_type_std"] = rf"""WITH w AS (SELECT id, string_split(trim(regexp_replace(name,'\s+',' ','g')),' ') w FROM match_features WHERE name IS NOT NULL)
  SELECT id, list_aggregate(list_transform(w, lambda x, i: CASE WHEN len(w)>1 AND i=1 AND {_DIR}[lower(x)] IS NOT NULL THEN upper({_DIR}[lower(x)])
-  WHEN len(w)>1 AND i=len(w) AND {_TYP}[lower(x)] IS NOT NULL THEN upper({_TYP}[lower(x)][1:1]) || {_TYP}[lower(x)][2:] ELSE upper(x[1:1]) || lower(x[2:]) END),'string_agg',' ') AS standard FROM w"""
+  WHEN len(w)>2 AND i=len(w) AND {_DIR}[lower(x)] IS NOT NULL AND {_TYP}[lower(w[len(w)-1])] IS NOT NULL THEN upper({_DIR}[lower(x)])
+  WHEN len(w)>1 AND (i=len(w) OR (len(w)>2 AND i=len(w)-1 AND {_DIR}[lower(w[len(w)])] IS NOT NULL)) AND {_TYP}[lower(x)] IS NOT NULL THEN upper({_TYP}[lower(x)][1:1]) || {_TYP}[lower(x)][2:] ELSE upper(x[1:1]) || lower(x[2:]) END),'string_agg',' ') AS standard FROM w"""
 QUERIES["name_fuzzy"] = lambda spark, sf_dir: (
     table(spark, sf_dir, "edges").select("ord", "name", "u").distinct().where("name is not null").select("ord", r(names.likeness(F.lower("name"), F.lower(F.concat(F.split("name", " ")[0], F.lit(" street")))), "likeness"))
 )
