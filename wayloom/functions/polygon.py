@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import line as L
 from wayloom.functions.let import let, lit, point
 from wayloom.functions.scalar import segment_intersection
+from wayloom.session import checkpointed
 
 
 def closed(ring: Column) -> Column:
@@ -142,9 +143,24 @@ def hexagon_grid(box: DataFrame, radius: float) -> DataFrame:
     return c.select("row", "col", F.array(F.array(*[point(x + dx, y + dy * side) for dx, dy in corners])).alias("geometry"))
 
 
-def random_points(poly_box: DataFrame, n: int, seed: int = 1, tries: int = 50) -> DataFrame:
-    """``x, y`` of ``n`` points drawn evenly in the area of a one-row frame (``geometry``), by rejection."""
-    b = bounds(F.get("geometry", F.lit(0)))
-    drawn = poly_box.select("geometry", b.alias("b")).join(poly_box.sparkSession.range(n * tries))
-    p = drawn.select("geometry", (F.col("b.minx") + F.rand(seed) * (F.col("b.maxx") - F.col("b.minx"))).alias("x"), (F.col("b.miny") + F.rand(seed + 1) * (F.col("b.maxy") - F.col("b.miny"))).alias("y"))
-    return p.where(contains(F.col("geometry"), point(F.col("x"), F.col("y")))).select("x", "y").limit(n)
+def random_points(poly_box: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """``x, y`` of ``n`` points drawn evenly in the area of a one-row frame (``geometry``), by rejection in its box.
+
+    As many are drawn as the area's share of its box lets expect, and then more
+    until there are enough, however thin the area; an area of size 0, or none,
+    has no points.
+    """
+    spark = poly_box.sparkSession
+    box = bounds(F.get("geometry", F.lit(0)))
+    shape = poly_box.where("geometry is not null").select("geometry", box.alias("b"), area(F.col("geometry")).alias("a")).limit(1)
+    size = shape.select("a", ((F.col("b.maxx") - F.col("b.minx")) * (F.col("b.maxy") - F.col("b.miny"))).alias("box")).first()
+    if n <= 0 or size is None or not size.a or size.a <= 0:
+        return spark.createDataFrame([], "x double, y double")
+    draws, shape = int(1.2 * n * size.box / size.a) + 100, F.broadcast(checkpointed(shape))
+    out, got = None, 0
+    while got < n:
+        drawn = spark.range(draws).join(shape)
+        p = drawn.select("geometry", (F.col("b.minx") + F.rand(seed) * (F.col("b.maxx") - F.col("b.minx"))).alias("x"), (F.col("b.miny") + F.rand(seed + 1) * (F.col("b.maxy") - F.col("b.miny"))).alias("y"))
+        kept = checkpointed(p.where(contains(F.col("geometry"), point(F.col("x"), F.col("y")))).select("x", "y"))
+        out, got, seed = kept if out is None else out.unionByName(kept), got + kept.count(), seed + 2
+    return out.limit(n)

@@ -7,6 +7,7 @@ outline. So shared and touching outlines need no rules of their own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -49,32 +50,33 @@ def _inside(p: np.ndarray, seg: np.ndarray) -> np.ndarray:
 def _cut(seg: np.ndarray, snap: float) -> np.ndarray:
     """Segments cut at every place where they cross or touch one another."""
     a, d = seg[:, :2], seg[:, 2:] - seg[:, :2]
-    long = np.maximum(np.hypot(*d.T), 1e-300)
-    cuts: list[list[float]] = [[0.0, 1.0] for _ in seg]
+    long = np.maximum(np.hypot(*d.T), 1e-150)
     low, high = np.minimum(seg[:, :2], seg[:, 2:]) - snap, np.maximum(seg[:, :2], seg[:, 2:]) + snap
-    i, j = np.nonzero(np.triu((low[:, None] <= high[None]).all(axis=2) & (low[None] <= high[:, None]).all(axis=2), 1))
+    meet = (low[:, None, 0] <= high[None, :, 0]) & (low[None, :, 0] <= high[:, None, 0]) & (low[:, None, 1] <= high[None, :, 1]) & (low[None, :, 1] <= high[:, None, 1])
+    i, j = np.nonzero(np.triu(meet, 1))
     cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
     off = a[j] - a[i]
     apart = np.abs(cross) > 1e-12 * long[i] * long[j]
     safe = np.where(apart, cross, 1.0)
     t, u = (off[:, 0] * d[j, 1] - off[:, 1] * d[j, 0]) / safe, (off[:, 0] * d[i, 1] - off[:, 1] * d[i, 0]) / safe
     ti, tj = snap / long[i], snap / long[j]
-    for k in np.flatnonzero(apart & (t >= -ti) & (t <= 1 + ti) & (u >= -tj) & (u <= 1 + tj)).tolist():
-        cuts[i[k]].append(float(t[k]))
-        cuts[j[k]].append(float(u[k]))
+    hit = apart & (t >= -ti) & (t <= 1 + ti) & (u >= -tj) & (u <= 1 + tj)
+    n = np.arange(len(seg))
+    owners, places = [n, n, i[hit], j[hit]], [np.zeros(len(seg)), np.ones(len(seg)), t[hit], u[hit]]
     # ends that lie on another segment, as where outlines run along each other
     for own, other in ((i, j), (j, i)):
         for end in (0, 2):
             p = seg[other, end : end + 2] - a[own]
             s = (p * d[own]).sum(axis=1) / long[own] ** 2
-            far = np.abs(p[:, 0] * d[own, 1] - p[:, 1] * d[own, 0]) / long[own]
-            for k in np.flatnonzero((far <= snap) & (s > 0) & (s < 1)).tolist():
-                cuts[own[k]].append(float(s[k]))
-    out = []
-    for n, own in enumerate(cuts):
-        at = np.unique(np.clip(own, 0.0, 1.0))
-        out.append(np.column_stack([a[n] + at[:-1, None] * d[n], a[n] + at[1:, None] * d[n]]))
-    return np.concatenate(out)
+            on = (np.abs(p[:, 0] * d[own, 1] - p[:, 1] * d[own, 0]) / long[own] <= snap) & (s > 0) & (s < 1)
+            owners.append(own[on])
+            places.append(s[on])
+    owner, place = np.concatenate(owners), np.clip(np.concatenate(places), 0.0, 1.0)
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order]
+    at = a[owner] + place[:, None] * d[owner]
+    same = (owner[1:] == owner[:-1]) & (place[1:] > place[:-1])
+    return np.column_stack([at[:-1][same], at[1:][same]])
 
 
 def combine(regions: Sequence[Region], wanted: Callable[[np.ndarray], np.ndarray]) -> Region:
@@ -95,7 +97,8 @@ def combine(regions: Sequence[Region], wanted: Callable[[np.ndarray], np.ndarray
     # each piece once, whichever way it was drawn
     flip = (seg[:, 0] > seg[:, 2]) | ((seg[:, 0] == seg[:, 2]) & (seg[:, 1] > seg[:, 3]))
     seg[flip] = seg[flip][:, [2, 3, 0, 1]]
-    seg = np.unique(seg, axis=0)
+    seg = seg[np.lexsort(seg.T)]
+    seg = seg[np.concatenate([[True], (np.diff(seg, axis=0) != 0).any(axis=1)])]
     d = seg[:, 2:] - seg[:, :2]
     normal = np.column_stack([-d[:, 1], d[:, 0]]) / np.hypot(*d.T)[:, None] * (64 * snap)
     middle = (seg[:, :2] + seg[:, 2:]) / 2
@@ -108,29 +111,27 @@ def combine(regions: Sequence[Region], wanted: Callable[[np.ndarray], np.ndarray
 
 def _rings(edge: np.ndarray) -> Region:
     """Directed edges linked into rings, at a crossing turning as far left as can be, so that rings only touch."""
+    ends = edge.tolist()
     starts: dict[tuple[float, float], list[int]] = {}
-    for k, e in enumerate(edge.tolist()):
+    for k, e in enumerate(ends):
         starts.setdefault((e[0], e[1]), []).append(k)
-    used, rings = np.zeros(len(edge), dtype=bool), []
-    for first in range(len(edge)):
-        if used[first]:
-            continue
+    used, rings = [False] * len(ends), []
+    for first in range(len(ends)):
         ring, k = [], first
         while k is not None and not used[k]:
             used[k] = True
-            ring.append(edge[k, :2])
-            heading = edge[k, 2:] - edge[k, :2]
-            options = [n for n in starts.get((edge[k, 2], edge[k, 3]), []) if not used[n]]
-
-            def turn(n: int) -> float:
-                d = edge[n, 2:] - edge[n, :2]
-                return float(np.arctan2(heading[0] * d[1] - heading[1] * d[0], heading @ d))
-
-            k = max(options, key=turn) if options else None
+            x0, y0, x1, y1 = ends[k]
+            ring.append((x0, y0))
+            options = [n for n in starts.get((x1, y1), ()) if not used[n]]
+            if len(options) > 1:
+                hx, hy = x1 - x0, y1 - y0
+                k = max(options, key=lambda n: math.atan2(hx * (ends[n][3] - y1) - hy * (ends[n][2] - x1), hx * (ends[n][2] - x1) + hy * (ends[n][3] - y1)))  # noqa: B023
+            else:
+                k = options[0] if options else None
         xy = np.array(ring)
         if len(xy) > 2:
-            before, after = np.roll(xy, 1, axis=0), np.roll(xy, -1, axis=0)
-            bent = np.abs((xy - before)[:, 0] * (after - xy)[:, 1] - (xy - before)[:, 1] * (after - xy)[:, 0]) > 1e-12 * np.hypot(*(xy - before).T) * np.hypot(*(after - xy).T)
+            into, out_of = xy - np.roll(xy, 1, axis=0), np.roll(xy, -1, axis=0) - xy
+            bent = np.abs(into[:, 0] * out_of[:, 1] - into[:, 1] * out_of[:, 0]) > 1e-12 * np.hypot(*into.T) * np.hypot(*out_of.T)
             xy = xy[bent]
         if len(xy) > 2 and abs(ring_area(xy)) > 0:
             rings.append(xy)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import line as L
 from wayloom.functions import polygon as P
 from wayloom.functions import shapes
+from wayloom.functions.let import point
 from wayloom.operators import network, reshape, routing, spatial
 from wayloom.plans.conflate import _matches, _targets
 from wayloom.plans.network import _E, _edges, _nation_net
@@ -30,12 +31,19 @@ SQL["cheapest_of_sets"] = """WITH RECURSIVE n AS (SELECT a.n_nationkey u, b.n_na
  p AS (SELECT s node, 0 cost FROM (VALUES (0),(1)) t(s) UNION ALL SELECT v, cost+w FROM p JOIN n ON node=u), b AS (SELECT node, min(cost) cost FROM p GROUP BY node)
  SELECT CAST(k AS BIGINT) AS pair, CAST(min(cost) AS DOUBLE) AS cost FROM b, range(0,3) t(k) WHERE node IN (k+20, k+12) GROUP BY k"""
 QUERIES["poi_routes"] = lambda spark, sf_dir: (
-    routing.nearest_poi_routes(table(spark, sf_dir, "nation").select(c("n_nationkey").cast("bigint").alias("node"), (c("n_nationkey") + 1).cast("bigint").alias("poi_1"), F.when(c("n_nationkey") % 2 == 0, c("n_nationkey") + 7).cast("bigint").alias("poi_2")), _nation_net(spark, sf_dir), 2).where("cost is not null").select("node", "rank", "poi")
+    routing.nearest_poi_routes(table(spark, sf_dir, "nation").select(c("n_nationkey").cast("bigint").alias("node"), (c("n_nationkey") + 1).cast("bigint").alias("poi_1"), F.when(c("n_nationkey") % 2 == 0, c("n_nationkey") + 7).cast("bigint").alias("poi_2")), _nation_net(spark, sf_dir), 2).where("cost is not null").select("node", "rank", "poi", "cost")
 )
-SQL["poi_routes"] = """SELECT CAST(n_nationkey AS BIGINT) node, 1 AS rank, CAST(n_nationkey+1 AS BIGINT) poi FROM nation WHERE n_nationkey+1 < 25
- UNION ALL SELECT n_nationkey, 2, n_nationkey+7 FROM nation WHERE n_nationkey%2=0 AND n_nationkey+7 < 25"""
+SQL["poi_routes"] = """WITH RECURSIVE n AS (SELECT a.n_nationkey u, b.n_nationkey v, (7*a.n_nationkey+13*b.n_nationkey)%17+1 w FROM nation a JOIN nation b ON b.n_nationkey-a.n_nationkey IN (1,5,7)),
+ p AS (SELECT n_nationkey a, n_nationkey z, 0 cost FROM nation UNION SELECT a, v, cost+w FROM p JOIN n ON z=u WHERE v-a<=7), b AS (SELECT a, z, min(cost) cost FROM p GROUP BY a, z),
+ k AS (SELECT n_nationkey node, 1 AS rank, n_nationkey+1 poi FROM nation UNION ALL SELECT n_nationkey, 2, n_nationkey+7 FROM nation WHERE n_nationkey%2=0)
+ SELECT CAST(node AS BIGINT) node, rank, CAST(poi AS BIGINT) poi, CAST(cost AS DOUBLE) AS cost FROM k JOIN b ON a=node AND z=poi"""
 QUERIES["route_steps"] = lambda spark, sf_dir: routing.route_pairs(_edges(spark, sf_dir).select(c("ord").alias("route_id"), F.array("u", "v", "u").alias("route")))
 SQL["route_steps"] = f"WITH {_E} SELECT ord route_id, 0 seq, u, v FROM e UNION ALL SELECT ord, 1, v, u FROM e"
+QUERIES["random_points_inside"] = lambda spark, sf_dir: (
+    P.random_points(spark.range(1).select(F.array(F.array(*[point(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (100.0, 99.9), (100.0, 100.0), (0.0, 0.1))])).alias("geometry")), 200)
+    .select(((c("y") >= c("x") * 0.999 - 1e-9) & (c("y") <= 0.1 + c("x") * 0.999 + 1e-9)).alias("inside")).groupBy("inside").agg(F.count("*").alias("points"))
+)
+SQL["random_points_inside"] = "SELECT true AS inside, CAST(200 AS BIGINT) AS points"
 QUERIES["random_points"] = lambda spark, sf_dir: P.random_points(spark.range(1).select(P.rectangle(0, 0, 10, 10).alias("geometry")), 100)
 QUERIES["single_parts"] = lambda spark, sf_dir: reshape.single_parts(table(spark, sf_dir, "buildings").select("id", "geometry").distinct()).select("id", "part", F.size("geometry").alias("vertices"))
 SQL["single_parts"] = "SELECT id, CAST(k-1 AS INT) AS part, CAST(len(g[k]) AS INT) AS vertices FROM (SELECT id, g, unnest(range(1,len(g)+1)) k FROM (SELECT DISTINCT id, geometry g FROM buildings WHERE geometry IS NOT NULL))"

@@ -56,17 +56,16 @@ SQL["correct_direction"] = f"""WITH {_E}, n AS (SELECT DISTINCT node,x,y FROM no
  SELECT ord, CASE WHEN NOT (abs(g[1].x-x)<0.5e-6 AND abs(g[1].y-y)<0.5e-6) THEN g[-1].x ELSE g[1].x END x0 FROM g JOIN n ON node=u"""
 QUERIES["lowest_cost_edge"] = lambda spark, sf_dir: network.lowest_cost_edge(_edges(spark, sf_dir).where("length is not null"), "length")
 SQL["lowest_cost_edge"] = f"WITH {_E} SELECT u,v,key,length FROM (SELECT *, row_number() OVER (PARTITION BY u,v ORDER BY length,key) n FROM e WHERE length IS NOT NULL) WHERE n=1"
-QUERIES["self_loop_split"] = lambda spark, sf_dir: network.split_self_loops(_edges(spark, sf_dir).where("length > 0"))[0].select("u", "v", "key", "ord", r(c("length"), "length", 3))
-SQL["self_loop_split"] = f"""WITH {_E}, f AS (SELECT * FROM e WHERE length>0), l AS (SELECT ord,u,v,key,oneway,geometry g, {SQL_LENGTH.replace('g[','geometry[').replace('len(g)','len(geometry)')} t FROM f WHERE u=v AND len(geometry)>1),
+QUERIES["self_loop_split"] = lambda spark, sf_dir: network.split_self_loops(_edges(spark, sf_dir))[0].select("u", "v", "key", "ord", r(c("length"), "length", 3))
+SQL["self_loop_split"] = f"""WITH {_E}, f AS (SELECT * FROM e), l AS (SELECT ord,u,v,key,oneway,geometry g, {SQL_LENGTH.replace('g[','geometry[').replace('len(g)','len(geometry)')} t FROM f WHERE u=v AND len(geometry)>1),
  s AS (SELECT *, concat(u,'_',key,'_a') a, concat(u,'_',key,'_b') b FROM l)
  SELECT u,v,key,ord,round(length,3)+0.0 AS length FROM f WHERE NOT (u=v AND coalesce(len(geometry),0)>1)
  UNION ALL SELECT p[1],p[2],0,ord,round(t/3,3)+0.0 FROM (SELECT ord,t,oneway,unnest([[u,a,'f'],[a,b,'f'],[b,v,'f'],[a,u,'b'],[b,a,'b'],[v,b,'b']]) p FROM s) WHERE p[3]='f' OR NOT coalesce(oneway,false)"""
 QUERIES["insert_nodes"] = lambda spark, sf_dir: (
-    network.insert_nodes(_edges(spark, sf_dir).where("size(geometry) > 1"), _edges(spark, sf_dir).where("ord % 4 = 0").select("ord", F.lit(20.0).alias("place"), F.concat(F.lit("n"), "ord").alias("node"))).select("u", "v", "key", "ord", "piece", r(F.when(c("piece").isNotNull(), c("length")), "length", 3))
+    network.insert_nodes(_edges(spark, sf_dir).where("size(geometry) > 1"), _edges(spark, sf_dir).select("ord", F.lit(20.0).alias("place"), F.concat(F.lit("n"), "ord").alias("node"))).select("u", "v", "key", "ord", "piece", r(F.when(c("piece").isNotNull(), c("length")), "length", 3))
 )
 SQL["insert_nodes"] = f"""WITH {_E}, l AS (SELECT ord,u,v,key,{SQL_LENGTH.replace('g[','geometry[').replace('len(g)','len(geometry)')} t FROM e WHERE len(geometry)>1)
- SELECT u,v,key,ord,NULL::INT piece,NULL::DOUBLE length FROM l WHERE ord%4<>0
- UNION ALL SELECT u,concat('n',ord),key,ord,0,round(least(t,20.0),3)+0.0 FROM l WHERE ord%4=0 UNION ALL SELECT concat('n',ord),v,key,ord,1,round(t-least(t,20.0),3)+0.0 FROM l WHERE ord%4=0"""
+ SELECT u,concat('n',ord) v,key,ord,0 piece,round(least(t,20.0),3)+0.0 AS length FROM l UNION ALL SELECT concat('n',ord),v,key,ord,1,round(t-least(t,20.0),3)+0.0 FROM l"""
 QUERIES["edge_levels"] = lambda spark, sf_dir: _edges(spark, sf_dir).select("ord", cost.edge_level(c("highway")).alias("level"))
 SQL["edge_levels"] = "SELECT ord, " + "coalesce(greatest(" + ",".join(f"CASE WHEN len(list_filter(highway, lambda h: regexp_matches(h,'{p}')))>0 THEN {v} END" for p, v in cost.LEVELS.items()) + "),0) AS level FROM " + "(SELECT DISTINCT ord,highway FROM edges)"
 QUERIES["edge_time_weighted"] = lambda spark, sf_dir: (
@@ -112,6 +111,19 @@ QUERIES["sssp_tables"] = lambda spark, sf_dir: routing.shortest_paths(_nation_pa
 SQL["sssp_small"] = SQL["sssp_tables"] = _SQL_SSSP
 
 
+def _two_way_net(spark, sf_dir):
+    """Edges both ways between nations, many of them without cost, so that ways without cost go round in circles."""
+    forth = _nation_net(spark, sf_dir).withColumn("length", F.pmod(c("length"), F.lit(3.0)))
+    return forth.unionByName(forth.select(c("v").alias("u"), c("u").alias("v"), "key", "length"))
+
+
+for how, most in (("", routing.MAX_BROADCAST_BYTES), ("_tables", 0)):
+    QUERIES[f"sssp_zero{how}"] = lambda spark, sf_dir, most=most: routing.shortest_paths(_nation_pairs(spark, sf_dir), _two_way_net(spark, sf_dir), max_broadcast=most).select("origin", "destination", "cost", (F.size("route") - 1).alias("steps"))
+    SQL[f"sssp_zero{how}"] = """WITH RECURSIVE m AS (SELECT a.n_nationkey u, b.n_nationkey v, ((7*a.n_nationkey+13*b.n_nationkey)%17+1)%3 w FROM nation a JOIN nation b ON b.n_nationkey-a.n_nationkey IN (1,5,7)),
+ n AS (SELECT * FROM m UNION ALL SELECT v, u, w FROM m), p AS (SELECT 0 node, 0 cost, 0 h UNION SELECT v, cost+w, h+1 FROM p JOIN n ON node=u WHERE h<24 AND cost<20)
+ SELECT '0' AS origin, CAST(node AS VARCHAR) destination, CAST(min(cost) AS DOUBLE) AS cost, CAST(arg_min(h, cost*100+h) AS INT) AS steps FROM p GROUP BY node"""
+
+
 def _route_all(spark, sf_dir):
     """The way from the south-western node to every other node: one search over the whole network."""
     at = table(spark, sf_dir, "nodes").select("node", "x", "y").distinct()
