@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from wayloom.llm.mixing import BUCKETS, LEAST_BUCKETS, MODEL_SIZE, Diffusion, buckets_for, mix_sources, posterior, share_report, solve_prices
+from wayloom.llm.mixing import BUCKETS, LEAST_BUCKETS, MODEL_SIZE, Diffusion, _evidence, buckets_for, mix_sources, posteriors, share_report, solve_prices
 
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -32,8 +32,10 @@ def test_copies_and_posteriors():
     assert abs(sum(got) - 1300) <= 2 and set(got) <= {1, 2}
     assert d.copies("a", 2.0, 10, 2) == 2 and d.copies("a", 0.7, 0, 2) == 0
     model = np.log(np.array([[0.9, 0.1, 0.5], [0.1, 0.9, 0.5]])).astype(np.float32)
-    p, weak, told = (posterior(model, np.array([0]), np.array([8]), power, label) for power, label in ((1.0, None), (0.01, None), (0.01, 1)))
+    evidence = _evidence(model, 1, np.array([0]), np.array([0]), np.array([8]))
+    p, weak, told = (posteriors(model, evidence, power, np.array([label]))[0] for power, label in ((1.0, -1), (0.01, -1), (0.01, 1)))
     assert p[0] > 0.9 and abs(p.sum() - 1) < 1e-9 and 0.5 < weak[0] < 0.6 and told[1] > 0.99
+    assert np.allclose(_evidence(model, 3, np.array([0, 0, 2]), np.array([0, 1, 1]), np.array([2, 1, 3]))[:, 0], [np.log(0.9) * 2 + np.log(0.1), 0, np.log(0.1) * 3], atol=1e-5)
 
 
 def test_shares(spark):

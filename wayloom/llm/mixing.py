@@ -103,21 +103,44 @@ def fit_classifier(features: DataFrame, names: list[str]) -> np.ndarray:
 POWERS = (0.0, 1 / 256, 1 / 128, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0)
 
 
-def _evidence(model: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return model[:, bucket] @ count.astype(np.float32)
+#: Numbers gathered at a time, so that a worker's memory is bounded.
+CHUNK = 4_000_000
+
+
+def _documents(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, end, document of each bucket, bucket, count) for runs of documents whose buckets times ``width`` stay within CHUNK."""
+    n = pc.list_value_length(batch.column("bucket")).to_numpy(zero_copy_only=False).astype(np.int64)
+    bucket, count = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("bucket", "count"))
+    end = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        before = end[lo] - n[lo]
+        hi = max(lo + 1, int(np.searchsorted(end, before + CHUNK // max(1, width), side="right")))
+        own = slice(before, end[hi - 1])
+        yield lo, hi, np.repeat(np.arange(hi - lo), n[lo:hi]), bucket[own], count[own]
+        lo = hi
+
+
+def _evidence(model: np.ndarray, rows: int, own: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(document x source) log-likelihoods of the documents' buckets, less the prior."""
+    out = np.zeros((rows, len(model)))
+    if len(own):
+        first = np.flatnonzero(np.concatenate([[True], np.diff(own) != 0]))
+        out[own[first]] = np.add.reduceat(model[:, :-1].T[bucket] * count[:, None].astype(np.float32), first, axis=0)
+    return out
 
 
 def _normal(score: np.ndarray) -> np.ndarray:
-    score = np.exp((score - score.max()).astype(np.float64))
-    return score / score.sum()
+    score = np.exp(score - score.max(axis=1, keepdims=True))
+    return score / score.sum(axis=1, keepdims=True)
 
 
-def posterior(model: np.ndarray, bucket: np.ndarray, count: np.ndarray, power: float = 1.0, label: int | None = None, trust: float = LABEL_TRUST) -> np.ndarray:
-    """Membership of a document in each source: the prior, the text's evidence to a power (its tokens aren't independent), and a recorded source as far as it is trusted."""
-    score = model[:, -1] + power * _evidence(model, bucket, count)
-    if label is not None and len(score) > 1:
-        score = score + np.log((1 - trust) / (len(score) - 1))
-        score[label] += np.log(trust) - np.log((1 - trust) / (len(score) - 1))
+def posteriors(model: np.ndarray, evidence: np.ndarray, power: float, labels: np.ndarray, trust: float = LABEL_TRUST) -> np.ndarray:
+    """(document x source) memberships: the prior, the text's evidence to a power (its tokens aren't independent), and a recorded source (-1: none) as far as it is trusted."""
+    score = model[:, -1] + power * evidence
+    told = np.flatnonzero(labels >= 0)
+    if len(model) > 1:
+        score[told, labels[told]] += np.log(trust) - np.log((1 - trust) / (len(model) - 1))
     return _normal(score)
 
 
@@ -126,18 +149,19 @@ def fit_power(features: DataFrame, model, names: list[str]) -> float:
     number = {n: k for k, n in enumerate(names)}
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss = np.zeros(len(POWERS))
-        table, total = np.exp(model.value[:, :-1].astype(np.float64)), model.value
+        loss, logs = np.zeros(len(POWERS)), model.value
+        likely = np.exp(logs[:, :-1].astype(np.float64))
         for batch in batches:
-            for source, b, c in zip(batch.column("source").to_pylist(), batch.column("bucket").to_pylist(), batch.column("count").to_pylist()):
-                label = number[source]
-                at, own = np.array(b, dtype=np.int64), np.array(c)
-                evidence = _evidence(total, at, own).astype(np.float64)
+            labels = np.array([number[s] for s in batch.column("source").to_pylist()], dtype=np.int64)
+            for lo, hi, own, bucket, count in _documents(batch, len(names)):
+                evidence, label = _evidence(logs, hi - lo, own, bucket, count), labels[lo:hi]
                 # without the document's own counts its source foretells it less well
-                left = np.maximum(table[label, at] - own / model_tokens[label], 0.5 / model_tokens[label])
-                evidence[label] = np.log(left) @ own
+                size = model_tokens[label][own]
+                left = np.log(np.maximum(likely[label[own], bucket] - count / size, 0.5 / size)) * count
+                rows = np.arange(hi - lo)
+                evidence[rows, label] = np.bincount(own, left, hi - lo)
                 for k, power in enumerate(POWERS):
-                    loss[k] -= np.log(max(_normal(total[:, -1] + power * evidence)[label], 1e-12))
+                    loss[k] -= np.log(np.maximum(_normal(logs[:, -1] + power * evidence)[rows, label], 1e-12)).sum()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(POWERS)), pa.int32()), pa.array(loss)], names=["k", "loss"])
 
     model_tokens = model_sizes(features, names)
@@ -158,18 +182,20 @@ def _membership(model, power: float, names: list[str], caps: np.ndarray, soft_ca
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, shares, cap = [], [], []
-            for source, b, c in zip(batch.column("source").to_pylist(), batch.column("bucket").to_pylist(), batch.column("count").to_pylist()):
-                label = number.get(source)
-                p = posterior(model.value, np.array(b, dtype=np.int64), np.array(c), power, label)
-                kept = np.flatnonzero(p >= min(least, p.max()))
-                at.append(kept.astype(np.int32))
-                shares.append(p[kept] / p[kept].sum())
-                cap.append(soft_cap if label is None else caps[label])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in ("doc_id", "source", "tokens")), pa.array(cap, pa.float64()), pa.array(at, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))],
-                names=["doc_id", "source", "tokens", "cap", "at", "p"],
-            )
+            labels = np.array([number.get(s, -1) for s in batch.column("source").to_pylist()], dtype=np.int64)
+            sizes, at, shares = [], [], []
+            for lo, hi, own, bucket, count in _documents(batch, len(names)):
+                p = posteriors(model.value, _evidence(model.value, hi - lo, own, bucket, count), power, labels[lo:hi])
+                kept = p >= np.minimum(least, p.max(axis=1, keepdims=True))
+                p = np.where(kept, p, 0.0)
+                p /= p.sum(axis=1, keepdims=True)
+                sizes.append(kept.sum(axis=1))
+                at.append(np.nonzero(kept)[1].astype(np.int32))
+                shares.append(p[kept])
+            offsets = pa.array(np.concatenate([[0], *([np.cumsum(np.concatenate(sizes))] if sizes else [])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v) if v else np.zeros(0), t)) for v, t in ((at, pa.int32()), (shares, pa.float64()))]
+            cap = np.where(labels >= 0, caps[np.maximum(labels, 0)], soft_cap)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "source", "tokens")), pa.array(cap, pa.float64()), *lists], names=["doc_id", "source", "tokens", "cap", "at", "p"])
 
     return member
 
