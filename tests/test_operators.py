@@ -175,8 +175,11 @@ def test_buildings_and_connection(spark):
     assert ways[("s", "s_link")] == 3 and ways[("a", "s_link")] == 40 and ways[("b", "s_link")] == 60 and ("a", "b") not in ways
     assert {x.node for x in new_nodes.collect()} == {"a", "b", "s", "s_link"}
     pairs = spark.createDataFrame([("s", (40.0, 3.0), "t", (0.2, 0.1)), ("s", (40.0, 3.0), "far", (500.0, 500.0))], "a_name string, a_point struct<x:double,y:double>, b_name string, b_point struct<x:double,y:double>")
-    trips = {x.b_name: x for x in connect.routes_between_points(pairs, nodes, edges, 20.0).collect()}
+    trips = {x.b_name: x for x in connect.routes_between_points(pairs, nodes, edges, 20.0, summarize_links=True).collect()}
     assert trips["t"].status == "ok" and round(trips["t"].route_length, 3) == 43 and trips["far"].status == "unplaced"
+    wide = {x.b_name: x for x in connect.routes_between_points(pairs, nodes, edges, 20.0, both_ways=True, wide=True).collect()}
+    # without its link the way from s begins on the street; there may be no way back
+    assert len(wide) == 2 and round(wide["t"].route_length, 3) == 40 and round(wide["t"].cost, 3) == 43 and {"rev_status", "rev_route_length"} <= set(wide["t"].asDict())
 
 
 def test_sources(spark, tmp_path):

@@ -14,7 +14,7 @@ CASES = {
     "['a', 'b']": ["a", "b"],
     '["a","b"]': ["a", "b"],
     "{a,b}": ["a", "b"],
-    "a\;x;b": ["a;x", "b"],
+    "a\\;x;b": ["a;x", "b"],
     '"no, ""soft"" edge", lane': ['no, "soft" edge', "lane"],
     "'no' 'x' 'lane'": ["no", "x", "lane"],
     "a and b": ["a", "b"],
