@@ -23,6 +23,7 @@ from wayloom.functions.names import name_score, standardize_streetname
 from wayloom.functions.scalar import azimuth, azimuth_difference
 from wayloom.operators.spatial import box_of, grid_join
 from wayloom.operators.staged import spread, staged
+from wayloom.session import checkpointed
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -301,6 +302,7 @@ def closest_targets(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     features with more than one target go through Python, each by itself: what
     meets there is bounded by the targets beside one feature.
     """
+    pairs = checkpointed(pairs)  # measured once, read by the counts and both kinds of match features
     counts = pairs.where("match_id is not null").groupBy("match_id").agg(F.count("*").alias("_n")).where("_n > 1")
     counted = pairs.where("match_id is not null").join(counts, "match_id", "left").select(*pairs.columns, F.coalesce("_n", F.lit(1)).alias("_n"))
     shared = counted.where("_n > 1").drop("_n").join(matches.select(F.col("id").alias("match_id"), F.col("geometry").alias("h")).dropDuplicates(["match_id"]), "match_id").select(*pairs.columns, "h")
