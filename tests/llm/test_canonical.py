@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import types as T
 
+from wayloom.llm import canonical
 from wayloom.llm.canonical import BKTree, Mapper, distance, free_entries, map_to_canonical, unmatched_report
 
 REFERENCE = [
@@ -82,3 +83,40 @@ def test_shards_answer_like_the_whole_tree(spark):
     entries = spark.createDataFrame([("f", v) for v in sorted(set(typed))], "field string, value string")
     near, shards = ({x.value: (x.ref_id, x["rank"], x.cost) for x in map_to_canonical(entries, reference, max_broadcast=limit, shard_wordings=18).collect()} for limit in (1000, 2))
     assert near == shards and near["abcdx"] == (9, 3, 1) and near["maybe gravel road"][0] == 4
+
+
+def test_more_phrases_than_are_broadcast(spark, monkeypatch):
+    reference = spark.createDataFrame(REFERENCE, "ref_id int, field string, canonical string, aliases array<string>")
+    leads = ["rumoured", "by all accounts", "was signed as", "as far as anybody round here knows"]
+    tails = ["as of may", "so far", "on the sign that stands there", "weather permitting", "then"]
+    typed = {f"{lead} {w}": k for lead in leads for w, k in (("yes", 1), ("no", 2), ("designated", 4))}
+    typed |= {f"{w} {tail}": k for tail in tails for w, k in (("yes", 1), ("no", 2), ("designated", 4))}
+    typed |= {f"{lead} forbiden {tail}": 2 for lead in leads for tail in tails}
+    typed |= {f"rumoured by all accounts {w} so far, then (north) as of may - see sign": k for w, k in (("allowed", 1), ("frobidden", 2))}
+    typed |= {f"reportedly\u00a0{w}": k for w, k in (("yes", 1), ("no", 2), ("designated", 4), ("forbiden", 2))}  # no blank
+    typed |= {"forbidden (north side) (by day) (in winter) (as typed) (on foot) (says the map)": 2, "hardly forbidden": 0, "rumoured gravel": 0, "so far": 0, "": 0}
+    entries = spark.createDataFrame([("bicycle", v) for v in typed] + [("elsewhere", "rumoured yes"), (None, "rumoured yes")], "field string, value string")
+    for most in (1, 20_000):
+        monkeypatch.setattr(canonical, "MOST_PHRASES", most)
+        for limit in (1000, 2):
+            rows = map_to_canonical(entries, reference, max_broadcast=limit, shard_wordings=2).collect()
+            assert {r.value: r.ref_id for r in rows if r.field == "bicycle"} == typed and len(rows) == len(typed) + 2
+            assert [r.ref_id for r in rows if r.field != "bicycle"] == [0, 0]
+
+
+def test_values_hold_all_phrases_that_readings_ask_for():
+    r = random.Random(11)
+    parts = ["a", "b", "c.", "d,e", "(f)", "-", "g;", "/", "(h", "--i", "|j k", "l)", ",", "É"]
+    for _ in range(3000):
+        value = "".join(r.choice(parts) + r.choice([" ", " ", " ", "", "  "]) for _ in range(r.randint(1, 9)))
+        asked = set()
+
+        class Asked(canonical.Phrases):
+            def off(self, text):
+                words = text.split(" ")
+                asked.update((leads, " ".join(words[:k] if leads else words[-k:])) for k in range(1, min(3, len(words) - 1) + 1) for leads in (True, False))
+                k = r.randint(0, min(3, len(words) - 1))
+                return " ".join(r.choice((words[k:], words[: len(words) - k])))
+
+        Mapper([]).readings(value, Asked())
+        assert asked <= canonical.held(value, 3), value

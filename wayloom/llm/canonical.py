@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -28,11 +29,13 @@ from wayloom.session import checkpointed
 MAX_BROADCAST_WORDINGS = 5_000
 #: Wordings in a shard, and values looked up in one task of a shard.
 SHARD_WORDINGS, TASK_VALUES = 5_000, 200_000
-#: A phrase of at most so many words is a remark if it stands before, or after, the wordings of at least so many different entries; the driver and every worker hold at most MOST_PHRASES, those of the most entries.
-PHRASE_WORDS, PHRASE_ENTRIES, MOST_PHRASES = 4, 3, 20_000
+#: A phrase is a remark if it stands before, or after, the wordings of at least so many different entries. Up to MOST_PHRASES are broadcast; beyond that each value is joined with those that it holds.
+PHRASE_ENTRIES, MOST_PHRASES = 3, 20_000
 
 # Marks that part a remark at the end from what it is about: brackets, a dash, a delimiter inside one value.
 REMARKS = re.compile(r"\s*(?:\([^()]*\)|\s-+\s*\w[\w ]*|[,;|/]\s*[\w\"][\w\" ]*)\s*$")
+# Where such a remark may begin, in folded text.
+REMARK_STARTS = re.compile(r" ?[(,;|/]| -")
 # Letters that digits stand in for, and marks at a value's end.
 LEET = str.maketrans("013457", "oieast")
 TAIL = " .!?*_-~:#"
@@ -130,6 +133,40 @@ def threshold(length: int) -> int:
     return 0 if length <= 2 else 1 if length <= 4 else 2 if length <= 8 else 3
 
 
+class Phrases:
+    """Phrases that may be taken off a value, before or after what it means."""
+
+    def __init__(self, leads: Iterable[str] = (), tails: Iterable[str] = ()) -> None:
+        self.leads, self.tails = frozenset(leads), frozenset(tails)
+        self.most = max((p.count(" ") + 1 for p in self.leads | self.tails), default=0)
+
+    def off(self, text: str) -> str:
+        """Folded text without the longest phrase."""
+        words = text.split(" ")
+        for k in range(min(self.most, len(words) - 1), 0, -1):
+            if " ".join(words[:k]) in self.leads:
+                return " ".join(words[k:])
+            if " ".join(words[-k:]) in self.tails:
+                return " ".join(words[:-k])
+        return text
+
+
+def held(value: str, most: int) -> set[tuple[bool, str]]:
+    """(leads, phrase) of all phrases of at most ``most`` words that could be taken off a value, now or once others and remarks are off.
+
+    What is left of a value begins with one of its words and ends with one, or
+    where a remark begins.
+    """
+    text = fold(value)
+    starts = [0, *(m.end() for m in re.finditer(" ", text))]
+    ends = [s - 1 for s in starts[1:]]
+    out = {(True, text[s:e]) for k, s in enumerate(starts) for e in ends[k : k + most]}
+    for end in {*ends, len(text), *(m.start() for m in REMARK_STARTS.finditer(text))}:
+        inside = bisect_left(starts, end)
+        out |= {(False, text[s:end]) for s in starts[max(1, inside - most) : inside]}
+    return out
+
+
 class Mapper:
     """Finds the entries a typed value may mean among the wordings of one field.
 
@@ -147,44 +184,41 @@ class Mapper:
         self.tree = BKTree(words)
         self.drawn = BKTree(sorted((single_tail(w), e) for w, e in words))
         self.beginnings = BKTree(_halved(sorted({(w[:k], (len(w) - k, e)) for w, e in words for k in range(3, len(w))})))
-        self.leads, self.tails = frozenset(leads), frozenset(tails)
+        self.longest = max((len(w) for w, _ in words), default=0)
+        self.off = Phrases(leads, tails)
         self.known: dict[str, tuple[int, int, int, int, int] | None] = {}
 
-    def readings(self, value: str) -> list[tuple[str, bool]]:
+    def readings(self, value: str, off: Phrases | None = None) -> list[tuple[str, bool]]:
         """Compact forms to try in turn, each with whether dots cut it off: the value itself, then without remarks and learned phrases."""
         text = fold(value)
-        forms = [text]
-        for _ in range(4):
+        forms, off = [text], off or self.off
+        while True:
             shorter = REMARKS.sub("", text)
             if shorter == text or not shorter:
-                shorter = self._without_phrase(text)
+                shorter = off.off(text)
             if shorter == text or not shorter:
                 break
             forms.append(text := shorter)
-        out = []
+        out: dict[str, bool] = {}
         for form in forms:
-            word = compact(form.strip(TAIL))
-            if word and all(word != w for w, _ in out):
-                out.append((word, form.rstrip(" ").endswith(".")))
-        return out
-
-    def _without_phrase(self, text: str) -> str:
-        words = text.split(" ")
-        for k in range(min(PHRASE_WORDS, len(words) - 1), 0, -1):
-            if " ".join(words[:k]) in self.leads:
-                return " ".join(words[k:])
-            if " ".join(words[-k:]) in self.tails:
-                return " ".join(words[:-k])
-        return text
+            if word := compact(form.strip(TAIL)):
+                out.setdefault(word, form.rstrip(" ").endswith("."))
+        return list(out.items())
 
     def phrases(self, value: str) -> list[tuple[bool, str, int]]:
         """(leads, phrase, entry) where a value is a wording with something before or after it."""
         words = fold(value).split(" ")
         out = []
-        for k in range(1, min(PHRASE_WORDS, len(words) - 1) + 1):
-            for leads, phrase, rest in ((True, words[:k], words[k:]), (False, words[-k:], words[:-k])):
-                hits = self.tree.within(compact(" ".join(rest).strip(TAIL)), 0)
-                out += [(leads, " ".join(phrase), entry) for _, _, entry in hits]
+        for leads in (True, False):
+            rest = ""
+            for k in range(1, len(words)):
+                # a blank parts what is made compact, so the rest grows word by word
+                rest = compact(words[-k]) + rest if leads else rest + compact(words[k - 1])
+                if len(rest) > self.longest:
+                    break
+                if rest and (hits := self.tree.within(rest, 0)):
+                    phrase = " ".join(words[:-k] if leads else words[k:])
+                    out += [(leads, phrase, entry) for _, _, entry in hits]
         return out
 
     def find(self, value: str) -> tuple[int, int, int] | None:
@@ -199,8 +233,12 @@ class Mapper:
             self.known[value] = self._order(value)
         return self.known[value]
 
-    def _order(self, value: str) -> tuple[int, int, int, int, int] | None:
-        readings = self.readings(value)
+    def order_without(self, value: str, leads: Iterable[str], tails: Iterable[str]) -> tuple[int, int, int, int, int] | None:
+        """``order`` where a value comes with the phrases that may be taken off it."""
+        return self._order(value, Phrases(leads, tails))
+
+    def _order(self, value: str, off: Phrases | None = None) -> tuple[int, int, int, int, int] | None:
+        readings = self.readings(value, off)
         for k, (word, _) in enumerate(readings):
             if hits := self.tree.within(word, 0):
                 return 0, k, 0, 0, hits[0][2]
@@ -307,6 +345,38 @@ def _broadcast_lookup(wordings: tuple, phrases: tuple):
     return look
 
 
+def _broadcast_lookup_each(wordings: tuple):
+    """As _broadcast_lookup, for values that come with their phrases."""
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mappers = _mappers((wordings, ()))
+        for batch in batches:
+            out = []
+            for field, value, leads, tails in zip(*(batch.column(c).to_pylist() for c in ("field", "value", "leads", "tails"))):
+                if field in mappers and (hit := mappers[field].order_without(value, leads, tails)):
+                    out.append((field, value, hit[4], hit[0], hit[2]))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], names=["field", "value", "ref_id", "rank", "cost"])
+
+    return look
+
+
+def _held(most: int):
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.string(), pa.string(), pa.bool_(), pa.string()))], names=["field", "value", "leads", "phrase"])
+
+        for batch in batches:
+            out = []
+            for field, value in zip(batch.column("field").to_pylist(), batch.column("value").to_pylist()):
+                out += [(field, value, *p) for p in held(value, most)]
+                if len(out) > 50_000:
+                    yield handed()
+                    out = []
+            yield handed()
+
+    return look
+
+
 def _broadcast_phrases(wordings: tuple):
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mappers = _mappers((wordings, ()))
@@ -325,11 +395,16 @@ def _shard_phrases(key, values: pd.DataFrame, wordings: pd.DataFrame) -> pd.Data
     return pd.DataFrame(out, columns=["field", "leads", "phrase", "ref_id"])
 
 
-def _shard_lookup(phrases: tuple):
+def _shard_lookup(phrases: tuple | None):
+    """``phrases`` None: values come with their own."""
     def look(key, values: pd.DataFrame, wordings: pd.DataFrame) -> pd.DataFrame:
         out = []
         for field, own in values.groupby("field"):
             mine = wordings[wordings.field == field][["wording", "ref_id"]].itertuples(index=False, name=None)
+            if phrases is None:
+                mapper = Mapper(mine)
+                out += [(field, v, *hit) for v, leads, tails in zip(own.value, own.leads, own.tails) if (hit := mapper.order_without(v, leads, tails))]
+                continue
             mapper = Mapper(mine, [p for g, leads, p in phrases if g == field and leads], [p for g, leads, p in phrases if g == field and not leads])
             out += [(field, v, *hit) for v in own.value if (hit := mapper.order(v))]
         numbers = ["rank", "reading", "cost", "unlike", "ref_id"]
@@ -338,11 +413,29 @@ def _shard_lookup(phrases: tuple):
     return look
 
 
-def _listed(phrases: DataFrame) -> tuple:
+def _learned(phrases: DataFrame) -> DataFrame:
     """Of (field, leads, phrase, ref_id): the phrases that stand beside the wordings of PHRASE_ENTRIES entries."""
-    counted = phrases.groupBy("field", "leads", "phrase").agg(F.count_distinct("ref_id").alias("n")).where(F.col("n") >= PHRASE_ENTRIES)
-    rows = counted.orderBy(F.col("n").desc(), "field", "leads", "phrase").limit(MOST_PHRASES).collect()
-    return tuple(sorted((r.field, r.leads, r.phrase) for r in rows))
+    counted = phrases.groupBy("field", "leads", "phrase").agg(F.count_distinct("ref_id").alias("n"))
+    return checkpointed(counted.where(F.col("n") >= PHRASE_ENTRIES).select("field", "leads", "phrase"))
+
+
+def _listed(learned: DataFrame) -> tuple | None:
+    """All phrases, or None if they are too many to be broadcast."""
+    rows = learned.limit(MOST_PHRASES + 1).collect()
+    return tuple(sorted((r.field, r.leads, r.phrase) for r in rows)) if len(rows) <= MOST_PHRASES else None
+
+
+def _with_phrases(distinct: DataFrame, learned: DataFrame) -> DataFrame:
+    """``distinct`` with ``leads`` and ``tails``: the learned phrases that may be taken off each value."""
+    most = learned.agg(F.max(F.size(F.split("phrase", " ")))).first()[0]
+    own = (
+        distinct.mapInArrow(_held(most), "field string, value string, leads boolean, phrase string")
+        .join(learned, ["field", "leads", "phrase"])
+        .groupBy("field", "value")
+        .agg(F.collect_list(F.when(F.col("leads"), F.col("phrase"))).alias("leads"), F.collect_list(F.when(~F.col("leads"), F.col("phrase"))).alias("tails"))
+    )
+    none = F.array().cast("array<string>")
+    return distinct.join(own, ["field", "value"], "left").select("field", "value", F.coalesce("leads", none).alias("leads"), F.coalesce("tails", none).alias("tails"))
 
 
 def map_to_canonical(entries: DataFrame, reference: DataFrame, max_broadcast: int = MAX_BROADCAST_WORDINGS, shard_wordings: int = SHARD_WORDINGS) -> DataFrame:
@@ -355,7 +448,8 @@ def map_to_canonical(entries: DataFrame, reference: DataFrame, max_broadcast: in
     that the list is sharded, each distinct value is looked up in every shard in
     tasks of bounded size, and the best of all shards is joined back: the same
     answer. Distinct values are gone through once before, for the phrases that
-    people put around entries.
+    people put around entries. Up to MOST_PHRASES of these go to every worker;
+    if there are more, each distinct value is joined with those that it holds.
     """
     wordings = wordings_of(reference)
     listed = [tuple(r) for r in wordings.limit(max_broadcast + 1).collect()]
@@ -365,21 +459,28 @@ def map_to_canonical(entries: DataFrame, reference: DataFrame, max_broadcast: in
     if len(listed) <= max_broadcast:
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema]
         known = tuple(sorted(listed))
-        phrases = _listed(distinct.where(F.col("value").rlike(r"\S\s+\S")).mapInArrow(_broadcast_phrases(known), found))
-        return entries.mapInArrow(_broadcast_lookup(known, phrases), ", ".join([*fields, "ref_id int", "rank int", "cost int"]))
+        learned = _learned(distinct.mapInArrow(_broadcast_phrases(known), found))
+        if (phrases := _listed(learned)) is not None:
+            return entries.mapInArrow(_broadcast_lookup(known, phrases), ", ".join([*fields, "ref_id int", "rank int", "cost int"]))
+        won = _with_phrases(checkpointed(distinct), learned).mapInArrow(_broadcast_lookup_each(known), "field string, value string, ref_id int, rank int, cost int")
+        joined = entries.join(won, ["field", "value"], "left").withColumn("ref_id", F.coalesce("ref_id", F.lit(0)))
+        return joined.select(*[f"`{c}`" for c in entries.columns], "ref_id", "rank", "cost")
     distinct = checkpointed(distinct)
     shards = -(-wordings.count() // shard_wordings)
     salts = -(-distinct.count() // TASK_VALUES) or 1
-    left = distinct.withColumn("salt", F.pmod(F.xxhash64("field", "value"), F.lit(salts)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
     right = wordings.withColumn("shard", F.pmod(F.xxhash64("field", "wording"), F.lit(shards)).cast("int")).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    met = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt"))
-    phrases = _listed(met.applyInPandas(_shard_phrases, found))
+    ).groupBy("shard", "salt")
+
+    def met(values: DataFrame):
+        salted = values.withColumn("salt", F.pmod(F.xxhash64("field", "value"), F.lit(salts)).cast("int"))
+        return salted.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).groupBy("shard", "salt").cogroup(right)
+
+    learned = _learned(met(distinct).applyInPandas(_shard_phrases, found))
+    phrases = _listed(learned)
     won = (
-        met.applyInPandas(_shard_lookup(phrases), "field string, value string, rank int, reading int, cost int, unlike int, ref_id int")
+        met(distinct if phrases is not None else _with_phrases(distinct, learned))
+        .applyInPandas(_shard_lookup(phrases), "field string, value string, rank int, reading int, cost int, unlike int, ref_id int")
         .groupBy("field", "value").agg(F.min(F.struct("rank", "reading", "cost", "unlike", "ref_id")).alias("best"))
         .select("field", "value", "best.ref_id", "best.rank", "best.cost")
     )
