@@ -51,7 +51,7 @@ SQL["lines_meeting_polygons"] = f"WITH {_HZ} SELECT DISTINCT line_id AS id FROM
 QUERIES["areas_meeting_polygons"] = lambda spark, sf_dir: spatial.areas_meeting_polygons(_rectangles(spark, sf_dir), _zones(spark, sf_dir), 128.0).select("id")
 SQL["areas_meeting_polygons"] = f"WITH {_PTS} SELECT DISTINCT re.id FROM re, su WHERE re.x<=su.x+100 AND re.x+w>=su.x AND re.y<=su.y+100 AND re.y+h>=su.y"
 QUERIES["lines_outside_by_polygon"] = lambda spark, sf_dir: (
-    spatial.lines_outside_polygons(_zone_lines(spark, sf_dir), _zones(spark, sf_dir), 128.0).groupBy("line_id", "polygon_id").agg(r(F.sum(L.length(c("geometry"))), "length", 2)).where("length > 0.01")
+    spatial.lines_outside_polygons(_zone_lines(spark, sf_dir), _zones(spark, sf_dir), 128.0, give="total").select("line_id", "polygon_id", r(c("length"), "length", 2)).where("length > 0.01")
 )
 SQL["lines_outside_by_polygon"] = f"""WITH {_HZ}, i AS (SELECT line_id, polygon_id, greatest(h2-l2,0) n FROM z), m AS (SELECT line_id, polygon_id FROM o WHERE hi>=lo AND y+0.5>=sy AND y<=sy+100)
  SELECT line_id, polygon_id, round((90.25-coalesce(n,0))*sqrt(1+pow(0.5/90.25,2)),2)+0.0 AS length FROM m LEFT JOIN i USING (line_id, polygon_id) WHERE round((90.25-coalesce(n,0))*sqrt(1+pow(0.5/90.25,2)),2) > 0.01"""
