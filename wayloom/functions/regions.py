@@ -11,8 +11,13 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
+from wayloom.functions.cutting import Outlines, expand, half_planes, line_array, polygon_areas
 from wayloom.functions.shapes import LINE, _arrow, _points, _xy, ring_area
 
 Region = list[np.ndarray]  # rings; a point is inside if it is inside an odd number of them
@@ -201,17 +206,132 @@ def buffered(parts: Sequence[np.ndarray], distance: float, corners: int = 8, cap
     return combine(regions, RULES["union"])
 
 
+def _mixed(sizes: np.ndarray, xy: np.ndarray, rows: np.ndarray, slow: dict[int, list | None], n: int) -> pa.Array:
+    """An array of ``n`` areas: those of ``rows`` have one open ring of ``sizes`` points each (none without points), the others are given by row."""
+    kept = sizes > 0
+    owner, k = expand(sizes + kept)
+    at = (np.cumsum(sizes) - sizes)[owner] + np.where(k == sizes[owner], 0, k)
+    ring = line_array(xy[at], (sizes + kept)[kept])
+    quick = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), ring)
+    if len(rows) == n and (rows == np.arange(n)).all():
+        return quick
+    place = np.full(n, -1)
+    place[rows], place[list(slow)] = np.arange(len(rows)), len(rows) + np.arange(len(slow))
+    return pa.concat_arrays([quick, pa.array(list(slow.values()), quick.type)]).take(pa.array(place, mask=place < 0))
+
+
+def _turn(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return v[..., 0] * w[..., 1] - v[..., 1] * w[..., 0]
+
+
+def _bands(a: np.ndarray, b: np.ndarray, distance: float, corners: int, cap: str) -> np.ndarray:
+    """The outlines (rows) around straight lines: ``_band`` of many, without repeated points."""
+    d = b - a
+    long = np.hypot(*d.T)[:, None]
+    e = np.where(long > 0, d / np.where(long > 0, long, 1.0), np.array([1.0, 0.0]))
+    n = np.column_stack([-e[:, 1], e[:, 0]])
+    if cap == "square":
+        a, b = a - e * distance, b + e * distance
+    t = np.linspace(-np.pi / 2, np.pi / 2, 2 * corners + 1 if cap == "round" else 2)[None, :, None]
+    around = distance * (np.cos(t) * e[:, None] + np.sin(t) * n[:, None])
+    return np.concatenate([b[:, None] + around, a[:, None] - around], axis=1)
+
+
 def buffer_line(line: Column, distance: float, corners: int = 8, cap: str = "round") -> Column:
     """The area within ``distance`` of a line, as closed rings (a bent line may enclose holes); ``cap`` is 'round', 'flat' or 'square'.
 
     A line of one vertex is a point: a disc, a square, or with flat caps nothing.
-    Null and empty lines give null.
+    Null and empty lines give null. Straight lines and points, whose outline is a
+    single band, are drawn a batch at a time.
     """
-    return _arrow(lambda g: _closed(buffered([_xy(g)], distance, corners, cap)) if len(g) else None, f"array<{LINE}>", line)
+    def batch(g: pa.Array) -> pa.Array:
+        lines, given = Outlines(g, False), pc.fill_null(pc.list_value_length(g), 0).to_numpy()
+        whole = (np.bincount(lines.part, minlength=len(g)) == given) & (given > 0) & (distance > 0)
+        real = lines.long > 0
+        owner = np.repeat(np.arange(len(g)), lines.count)
+        runs = np.bincount(owner[real], minlength=len(g))
+        slow = {int(k): _closed(buffered([_xy(g[k].as_py())], distance, corners, cap)) for k in np.flatnonzero((given > 0) & ~(whole & (runs < 2)))}
+        rows = np.flatnonzero(whole & (runs < 2))
+        a, b = lines.start[rows], lines.start[rows].copy()
+        straight = runs[rows] == 1
+        b[straight] = lines.seg[real & (runs == 1)[owner] & whole[owner], 2:]
+        rings = _bands(a, b, distance, corners, cap)
+        keep = np.ones(rings.shape[:2], dtype=bool)
+        keep[~straight] = False if cap == "flat" else keep[~straight]
+        if cap == "round":  # around a point the two caps share their ends
+            half = rings.shape[1] // 2
+            keep[~straight, half] = keep[~straight, -1] = False
+        return _mixed(keep.sum(axis=1), rings[keep], rows, slow, len(g))
+
+    def of(g: pa.Array) -> pa.Array:
+        return batch(g)
+
+    return F.arrow_udf(of, _parse_datatype_string(f"array<{LINE}>"))(line)
+
+
+#: Corners up to which a convex ring is grown or shrunk by rule.
+BY_RULE = 32
+
+
+def _convex(xy: np.ndarray, distance: float, corners: int) -> np.ndarray:
+    """Which counter-clockwise rings (rows) are convex and, to grow, so wide everywhere that a corner's arc sees its own two sides only."""
+    n = xy.shape[1]
+    d = np.roll(xy, -1, axis=1) - xy
+    long = np.hypot(d[..., 0], d[..., 1])
+    before = np.roll(d, 1, axis=1)
+    turn = _turn(before, d)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ok = (turn > 1e-9 * long * np.roll(long, 1, axis=1)).all(axis=1) & (np.abs(np.arctan2(turn, (before * d).sum(axis=-1)).sum(axis=1) - 2 * np.pi) < 1e-6)
+        if distance > 0:
+            least = distance * np.sin(np.pi / corners / 4) * (1 + 1e-6)
+            away = _turn(d[:, None], xy[:, :, None] - xy[:, None]) / long[:, None]  # of corner i from the line of side j
+            i, j = np.indices((n, n))
+            ok &= (long >= least).all(axis=1) & ((away >= least) | (i == j) | (i == (j + 1) % n)).all(axis=(1, 2))
+    return ok
+
+
+def _grown(xy: np.ndarray, distance: float, corners: int) -> tuple[np.ndarray, np.ndarray]:
+    """(points of each ring, points) of convex rings (rows) grown: at a corner the caps of both sides, and where they cross if their points differ."""
+    step = np.pi / corners / 2
+    d = np.roll(xy, -1, axis=1) - xy
+    before = np.roll(d, 1, axis=1)
+    theta = np.arctan2(_turn(before, d), (before * d).sum(axis=-1)).ravel()
+    start = (np.arctan2(before[..., 1], before[..., 0]) - np.pi / 2).ravel()
+    q = np.floor(theta / step + 1e-9)
+    rest = theta - q * step
+    same = np.abs(rest) < 1e-8
+    count = np.where(same, q + 1, 4 * q + 3).astype(int)
+    corner, k = expand(count)
+    kind, turn, rest, same = k % 4, (k // 4) * step, rest[corner], same[corner]
+    angle = np.where(same, k * step, turn + np.choose(kind, [0 * rest, rest / 2, rest, (rest + step) / 2]))
+    apothem = np.cos(step / 2)
+    far = np.where(same, 1.0, np.choose(kind, [1.0 + 0 * rest, apothem / np.cos((step - rest) / 2), 1.0 + 0 * rest, apothem / np.cos(rest / 2)]))
+    angle = start[corner] + angle
+    points = xy.reshape(-1, 2)[corner] + distance * far[:, None] * np.column_stack([np.cos(angle), np.sin(angle)])
+    return count.reshape(xy.shape[:2]).sum(axis=1), points
+
+
+def _shrunk(xy: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(points of each ring, points) of convex rings (rows) cut by their own sides moved inwards; none where nothing is left."""
+    low, size = xy.min(axis=1, keepdims=True), np.ptp(xy, axis=1).max(axis=1) if len(xy) else np.zeros(0)
+    xy = xy - low
+    d = np.roll(xy, -1, axis=1) - xy
+    inward = np.stack([-d[..., 1], d[..., 0]], axis=-1) / np.hypot(d[..., 0], d[..., 1])[..., None] * distance
+    out = xy
+    for k in range(xy.shape[1]):
+        a = xy[:, k] + inward[:, k]
+        out = half_planes(out, a, a + d[:, k])
+    apart = (np.abs(out - np.roll(out, 1, axis=1)) > 1e-9 * size[:, None, None]).any(axis=-1)
+    keep = apart & (polygon_areas(out) > 1e-9 * size**2)[:, None]
+    keep &= keep.sum(axis=1, keepdims=True) > 2
+    return keep.sum(axis=1), (out + low)[keep]
 
 
 def buffer_area(poly: Column, distance: float, corners: int = 8) -> Column:
-    """An area grown by ``distance``, or with a negative one shrunk (perhaps to nothing), as closed rings."""
+    """An area grown by ``distance``, or with a negative one shrunk (perhaps to nothing), as closed rings.
+
+    Convex areas without holes are done by rule, a batch at a time.
+    """
 
     def grow(rings):
         area = region_of(rings)
@@ -220,4 +340,32 @@ def buffer_area(poly: Column, distance: float, corners: int = 8) -> Column:
         edge = buffered([np.vstack([r, r[:1]]) for r in area], abs(distance), corners, area=area if distance > 0 else ())
         return _closed(edge if distance > 0 else combine([area, edge], RULES["difference"]))
 
-    return _arrow(grow, f"array<{LINE}>", poly)
+    def batch(g: pa.Array) -> pa.Array:
+        areas, rings = Outlines(g, True), pc.fill_null(pc.list_value_length(g), 0).to_numpy()
+        given = pc.fill_null(pc.list_value_length(g.flatten()), 0).to_numpy()
+        points = np.bincount(areas.part, minlength=len(given))
+        first = np.cumsum(points) - points
+        n = points.copy()
+        some = np.flatnonzero(n > 1)
+        n[some] -= (areas.xy[first[some]] == areas.xy[first[some] + points[some] - 1]).all(axis=1)
+        alone = (rings[areas.shape_of] == 1) & (points == given) & (distance != 0)
+        rows, sizes, out = [], [], []
+        for size in np.unique(n[alone & (n > 2) & (n <= BY_RULE)]):
+            ring = np.flatnonzero(alone & (n == size))
+            xy = areas.xy[first[ring][:, None] + np.arange(size)]
+            turned = polygon_areas(xy) < 0
+            xy[turned] = xy[turned, ::-1]
+            ok = _convex(xy, distance, corners)
+            m, p = _grown(xy[ok], distance, corners) if distance > 0 else _shrunk(xy[ok], -distance)
+            rows.append(areas.shape_of[ring[ok]])
+            sizes.append(m)
+            out.append(p)
+        rows, sizes, xy = (np.concatenate([e, *x]) for e, x in ((np.zeros(0, dtype=int), rows), (np.zeros(0, dtype=int), sizes), (np.zeros((0, 2)), out)))
+        left = g.is_valid().to_numpy(zero_copy_only=False).copy()
+        left[rows] = False
+        return _mixed(sizes, xy, rows, {int(k): grow(g[k].as_py()) for k in np.flatnonzero(left)}, len(g))
+
+    def of(g: pa.Array) -> pa.Array:
+        return batch(g)
+
+    return F.arrow_udf(of, _parse_datatype_string(f"array<{LINE}>"))(poly)

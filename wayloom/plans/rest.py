@@ -11,6 +11,7 @@ from wayloom.functions import scalar as S
 from wayloom.functions import shapes
 from wayloom.operators import network, reshape, spatial, turns
 from wayloom.operators.spatial import box_of, grid_join
+from wayloom.operators.staged import spread
 from wayloom.plans.lines import SQL_V
 from wayloom.plans.network import _E, _SQL_TURNS, _edges
 from wayloom.plans.spatial import _HZ, _PTS, _rectangles, _zone_lines, _zones
@@ -42,7 +43,7 @@ SQL["overlay_shapes"] = f"""WITH {_PTS}, o AS (SELECT re.id part, su.id zone, w*
  SELECT part, zone, round(s,2)+0.0 AS shared, round(a+10000-s,2)+0.0 AS joined, round(a-s,2)+0.0 AS left_over, round(a+10000-2*s,2)+0.0 AS either FROM o WHERE s>0"""
 _DISC = "16*sin(2*pi()/32)"  # the area of a disc of radius 1 drawn with 32 corners
 for cap, sql in {"round": f"2*4.0*l + 16.0*{_DISC}", "flat": "2*4.0*l", "square": "2*4.0*l + 64.0"}.items():
-    QUERIES[f"buffer_lines_{cap}"] = lambda spark, sf_dir, cap=cap: _zone_lines(spark, sf_dir).select("id", r(_signed(regions.buffer_line(c("geometry"), 4.0, cap=cap)), "area", 2))
+    QUERIES[f"buffer_lines_{cap}"] = lambda spark, sf_dir, cap=cap: spread(_zone_lines(spark, sf_dir)).select("id", r(_signed(regions.buffer_line(c("geometry"), 4.0, cap=cap)), "area", 2))
     SQL[f"buffer_lines_{cap}"] = f"WITH {_PTS} SELECT id, round({sql},2)+0.0 AS area FROM (SELECT id, sqrt(90.25*90.25+0.25) l FROM cu)"
 QUERIES["buffer_areas"] = lambda spark, sf_dir: _rectangles(spark, sf_dir).select("id", r(_signed(regions.buffer_area(c("geometry"), 3.0)), "grown", 2), r(_signed(regions.buffer_area(c("geometry"), -3.0)), "shrunk", 2))
 SQL["buffer_areas"] = f"WITH {_PTS} SELECT id, round(w*h + 2*3*(w+h) + 9*{_DISC},2)+0.0 AS grown, round(greatest(w-6,0)*greatest(h-6,0),2)+0.0 AS shrunk FROM re"
