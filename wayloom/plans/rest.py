@@ -45,7 +45,7 @@ _DISC = "16*sin(2*pi()/32)"  # the area of a disc of radius 1 drawn with 32 corn
 for cap, sql in {"round": f"2*4.0*l + 16.0*{_DISC}", "flat": "2*4.0*l", "square": "2*4.0*l + 64.0"}.items():
     QUERIES[f"buffer_lines_{cap}"] = lambda spark, sf_dir, cap=cap: spread(_zone_lines(spark, sf_dir)).select("id", r(_signed(regions.buffer_line(c("geometry"), 4.0, cap=cap)), "area", 2))
     SQL[f"buffer_lines_{cap}"] = f"WITH {_PTS} SELECT id, round({sql},2)+0.0 AS area FROM (SELECT id, sqrt(90.25*90.25+0.25) l FROM cu)"
-QUERIES["buffer_areas"] = lambda spark, sf_dir: _rectangles(spark, sf_dir).select("id", r(_signed(regions.buffer_area(c("geometry"), 3.0)), "grown", 2), r(_signed(regions.buffer_area(c("geometry"), -3.0)), "shrunk", 2))
+QUERIES["buffer_areas"] = lambda spark, sf_dir: spread(_rectangles(spark, sf_dir)).select("id", r(_signed(regions.buffer_area(c("geometry"), 3.0)), "grown", 2), r(_signed(regions.buffer_area(c("geometry"), -3.0)), "shrunk", 2))
 SQL["buffer_areas"] = f"WITH {_PTS} SELECT id, round(w*h + 2*3*(w+h) + 9*{_DISC},2)+0.0 AS grown, round(greatest(w-6,0)*greatest(h-6,0),2)+0.0 AS shrunk FROM re"
 QUERIES["lines_meeting_polygons"] = lambda spark, sf_dir: spatial.lines_meeting_polygons(_zone_lines(spark, sf_dir), _zones(spark, sf_dir), 128.0).select("id")
 SQL["lines_meeting_polygons"] = f"WITH {_HZ} SELECT DISTINCT line_id AS id FROM z WHERE h2 >= l2"
