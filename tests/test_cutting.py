@@ -153,3 +153,19 @@ def test_convex_areas_are_grown_and_shrunk_like_any(spark):
         for k, g in enumerate(areas):
             assert (got[k] is None) == (g is None)
             assert g is None or abs(outline(got[k]) - by_arrangement(g, d)) < 1e-4, (k, d, g)
+
+
+def test_overlays_of_many_pairs_are_those_of_each(sides):
+    r = np.random.default_rng(2)
+    grid = [[pts([(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)])] for x, y, w, h in r.integers(0, 6, (25, 4)) + np.array([0, 0, 1, 1])]
+    frames = [[pts([(0, 0), (9, 0), (9, 9), (0, 9)]), pts([(2, 2), (7, 2), (7, 7), (2, 7)])], [pts([(0, 0), (2, 0), (2, 2), (4, 2), (4, 4), (2, 4), (2, 2), (0, 2)])]]
+    rings = [[[tuple(p.values()) for p in ring] for ring in g] for g in sides[1].where("size(geometry) > 0").limit(25).toArrow().column("geometry").to_pylist()]
+    for some in (grid + frames, rings):
+        b = cutting.Outlines(cutting.pa.array([[[{"x": x, "y": y} for x, y in ring] for ring in g] for g in some]), True)
+        i, j = (k.ravel() for k in np.meshgrid(*[np.arange(len(some))] * 2))
+        hows = list(regions.RULES)
+        for how, got in zip(hows, regions.overlays(b, b, i, j, hows)):
+            for x, y, g in zip(i, j, got.to_pylist()):
+                want = regions.combine([regions.region_of([np.array(q) for q in some[k]]) for k in (x, y)], regions.RULES[how])
+                assert [len(q) for q in g] == [len(q) + 1 for q in want], (how, some[x], some[y])
+                assert all(np.allclose([tuple(p.values()) for p in q][:-1], w, atol=1e-6) for q, w in zip(g, want))
