@@ -169,3 +169,17 @@ def test_overlays_of_many_pairs_are_those_of_each(sides):
                 want = regions.combine([regions.region_of([np.array(q) for q in some[k]]) for k in (x, y)], regions.RULES[how])
                 assert [len(q) for q in g] == [len(q) + 1 for q in want], (how, some[x], some[y])
                 assert all(np.allclose([tuple(p.values()) for p in q][:-1], w, atol=1e-6) for q, w in zip(g, want))
+
+
+def test_lines_in_a_crowd_are_asked_until_they_have_met():
+    x = np.arange(4_000) % 63.0
+    lines = cutting.line_array(np.column_stack([np.repeat(x, 2) + np.tile([0.0, 9.0], len(x)), np.repeat(x[::-1], 2)]), np.full(len(x), 2))
+    squares = cutting.pa.array([[[{"x": k % 60 + dx, "y": k % 61 + dy} for dx, dy in ((0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0))]] for k in range(2_000)])
+    a, b = cutting.Outlines(lines, False), cutting.Outlines(squares, True)
+    a_box, b_box = np.column_stack([a.seg[:, :2], a.seg[:, 2:]]), np.column_stack([b.start, b.start + 9])
+    asked = []
+    met = cutting.any_met(a, b, a_box, b_box, lambda *s: asked.append(len(s[2])) or cutting.lines_meet(*s))
+    i, j = cutting.boxes_meet(a_box, b_box)
+    every = np.zeros(a.n, dtype=bool)
+    every[i[cutting.lines_meet(a, b, i, j)]] = True
+    assert (met == every).all() and met.any() and 5 * sum(asked) < len(i)
